@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.llm import byte_bpe, fingerprints, near_dedup, packing, pii, quality, sharding, top_k
+from siltbed.llm import byte_bpe, fingerprints, near_dedup, packing, pii, quality, sharding, substring_dedup, top_k
 from siltbed.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=2)
 
@@ -53,7 +57,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_top_k, op3_near_dedup, op4_fingerprints, op5_sharding, op6_byte_bpe, op7_pii, op8_quality, op9_packing)
+    f.__name__: f for f in (op1_top_k, op2_substring_dedup, op3_near_dedup, op4_fingerprints, op5_sharding, op6_byte_bpe, op7_pii, op8_quality, op9_packing)
 }
 
 #: The weights are sums of whole numbers, so DuckDB's results are the same to the last digit.
