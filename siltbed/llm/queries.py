@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.llm import byte_bpe, fingerprints, near_dedup, packing, pii, quality, sharding, substring_dedup, top_k
+from siltbed.llm import byte_bpe, fingerprints, licenses, near_dedup, packing, pii, quality, sharding, substring_dedup, top_k
 from siltbed.llm.common import table
 
 
@@ -56,8 +56,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_top_k, op2_substring_dedup, op3_near_dedup, op4_fingerprints, op5_sharding, op6_byte_bpe, op7_pii, op8_quality, op9_packing)
+    f.__name__: f for f in (op1_top_k, op2_substring_dedup, op3_near_dedup, op4_fingerprints, op5_sharding, op6_byte_bpe, op7_pii, op8_quality, op9_packing, op10_licenses)
 }
 
 #: The weights are sums of whole numbers, so DuckDB's results are the same to the last digit.
