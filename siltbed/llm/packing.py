@@ -2,28 +2,81 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.llm.common import gapless_rank, small_batches, text_or_empty, written
 
-#: A cached chunk has at most so many characters, a worker's cache so many chunks.
-CHUNK_CHARS, CACHE_CHUNKS = 48, 300_000
+#: A worker's cache is emptied beyond so many chunks; longer chunks stay in it for one batch only.
+CACHE_CHUNKS, CHUNK_CHARS = 500_000, 48
+#: Chunks that one call encodes.
+TOGETHER = 2048
 
-_tokenizers: dict = {}
-_chunks: dict[str, dict[str, bytes]] = {}
+_chunks: dict[str, Chunks] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
+class Chunks:
+    """A tokenizer with the ids of chunks that it has met."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+        self.whole = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        own = json.loads(self.whole.to_str())
+        bare = dict(own, normalizer=None, pre_tokenizer={"type": "WhitespaceSplit"}, added_tokens=[])
+        #: The same merges for what normalizing and splitting leave as it is: one run of letters, lower-cased, as byte characters.
+        self.merges = Tokenizer.from_str(json.dumps(bare))
+        vocabulary = self.merges.get_vocab()
+        suffix = own["model"].get("end_of_word_suffix")
+        self.folds = bool(suffix) and {n["type"] for n in own["normalizer"].get("normalizers", [])} == {"NFC", "Replace", "Lowercase"}
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.byte_chars = dict(zip(shown, map(chr, shown), strict=True)) | {b: chr(256 + n) for n, b in enumerate(sorted({*range(256)}.difference(shown)))}
+
+    def runs_of_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are letters only, composed and lower-cased, from calls over many at once."""
+        out: list[bytes] = []
+        for at in range(0, len(words), TOGETHER):
+            part = [w if w.isascii() else w.encode().decode("latin-1").translate(self.byte_chars) for w in words[at : at + TOGETHER]]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            raw, start = ids.tobytes(), 0
+            for end in ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist():
+                out.append(raw[start:end])
+                start = end
+        return out
+
+    def learn(self, new: set[str]) -> None:
+        """Adds the chunks' ids to the known ones.
+
+        The tokenizer folds case, and a comma or full stop after a letter is a token of its own. So a chunk of letters
+        is looked up in lower case and without that last mark, and its merges alone are run when it is new; any other
+        chunk goes through the whole tokenizer.
+        """
+        known, stems, rest = self.known, {}, []
+        for c in new:
+            last = c[-1:] if c[-1:] in (".", ",") else ""
+            low = (c[:-1] if last else c).lower()
+            if self.folds and low.isalpha() and (low.isascii() or low.islower() and is_normalized("NFC", c) and "\u03c2" not in low and "\u0307" not in low):
+                stems[c] = (low, last)
+            else:
+                rest.append(c)
+        ask = list({low for low, _ in stems.values()}.difference(known))
+        known.update(zip(ask, self.runs_of_letters(ask), strict=True))
+        more = list({last for _, last in stems.values()}.union(rest).difference(known))
+        for at in range(0, len(more), TOGETHER):
+            part = more[at : at + TOGETHER]
+            known.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        for c, (low, last) in stems.items():
+            known[c] = known[low] + known[last] if last else known[low]
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
@@ -32,20 +85,22 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     The tokenizer drops white space and no rule of it reaches over a space or a line feed, so a text's ids are those
     of the chunks between them; a chunk is encoded once for as long as the worker's cache holds it.
     """
-    tokenizer, known = _tokenizer(path), _chunks.setdefault(path, {})
+    if path not in _chunks:
+        _chunks[path] = Chunks(path)
+    chunks = _chunks[path]
     split = [t.replace("\n", " ").split(" ") for t in texts]
-    if len(known) > CACHE_CHUNKS:
-        known.clear()
-    new = list({c for chunks in split for c in chunks}.difference(known))
-    fresh = {}
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        for chunk, enc in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            ids = b"".join([i.to_bytes(4, "little") for i in enc.ids])
-            (known if len(chunk) <= CHUNK_CHARS else fresh)[chunk] = ids
-    if not fresh:
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
-    return [b"".join([known[c] if c in known else fresh[c] for c in chunks]) for chunks in split]
+    if len(chunks.known) > CACHE_CHUNKS:
+        chunks.known.clear()
+    seen: set[str] = set()
+    for parts in split:
+        seen.update(parts)
+    chunks.learn(seen.difference(chunks.known))
+    known = chunks.known
+    out = [b"".join([known[c] for c in parts]) for parts in split]
+    for c in seen:
+        if len(c) > CHUNK_CHARS:
+            del known[c]
+    return out
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
