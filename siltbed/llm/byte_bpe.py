@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from siltbed.llm.common import small_batches, text_or_empty
 
 #: A cached word has at most so many bytes, a worker's cache so many words.
-WORD_BYTES, CACHE_WORDS = 48, 300_000
+WORD_BYTES, CACHE_WORDS = 48, 500_000
 
 _vocabularies: dict = {}
 
