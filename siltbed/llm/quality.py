@@ -165,24 +165,14 @@ def _fit(rows: list, taught: list[dict]) -> CoTrained:
     return CoTrained(models, platt, Logistic(np.stack(logits, axis=1), y[held], ridge=0.1))
 
 
-def score(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled: int = LABELLED) -> DataFrame:
-    """doc_id, p_content, p_metadata, p_quality and kept of every document.
-
-    docs: doc_id, text, lang, source, n_chars; labels: doc_id and quality (0 or 1; other values and nulls are ignored).
-    The views are fitted on at most `labelled` labelled rows, taken by their id's hash. In each round both views score
-    all documents that have no label; the CONFIDENT surest of each class, if the view is SURE of them, become labels for
-    the other view, each document once for a view. A FOLDth of the labelled rows is never fitted on: it calibrates each
-    view and the weights of both. Without labels of both classes (two of each at least in each part) nothing can be
-    learnt, and every document is kept with a probability of 1. Rows that repeat a doc_id each get the score of their
-    own text. No documents: no rows.
-    """
+def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled: int = LABELLED) -> tuple[DataFrame, CoTrained | None]:
+    """The views of all documents, and the model; None without labels of both classes."""
     features = written(views(docs), "views")
     known = labels.filter(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     rows = features.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "content", "metadata").limit(labelled).collect()
     split = Counter((n % FOLD == 0, r["quality"]) for n, r in enumerate(rows))
     if min(split[h, q] for h in (True, False) for q in (0, 1)) < 2:
-        sure = F.lit(1.0)
-        return features.select("doc_id", sure.alias("p_content"), sure.alias("p_metadata"), sure.alias("p_quality"), F.lit(True).alias("kept"))
+        return features, None
     free = features.filter(F.col("doc_id").isNotNull()).join(known, "doc_id", "left_anti")
     taught: list[dict] = [{}, {}]
     model = _fit(rows, taught)
@@ -194,5 +184,44 @@ def score(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled: in
                     taught[1 - k].setdefault(r["doc_id"], (r[other], quality))
         forget(scored)
         model = _fit(rows, taught)
-    out = _scored(features, model).drop("content", "metadata")
-    return out.withColumn("kept", F.col("p_quality") >= THRESHOLD)
+    return features, model
+
+
+def score(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled: int = LABELLED) -> DataFrame:
+    """doc_id, p_content, p_metadata, p_quality and kept of every document.
+
+    docs: doc_id, text, lang, source, n_chars; labels: doc_id and quality (0 or 1; other values and nulls are ignored).
+    The views are fitted on at most `labelled` labelled rows, taken by their id's hash. In each round both views score
+    all documents that have no label; the CONFIDENT surest of each class, if the view is SURE of them, become labels for
+    the other view, each document once for a view. A FOLDth of the labelled rows is never fitted on: it calibrates each
+    view and the weights of both. Without labels of both classes (two of each at least in each part) nothing can be
+    learnt, and every document is kept with a probability of 1. Rows that repeat a doc_id each get the score of their
+    own text. No documents: no rows.
+    """
+    features, model = fit(docs, labels, rounds, labelled)
+    if model is None:
+        sure = F.lit(1.0)
+        return features.select("doc_id", sure.alias("p_content"), sure.alias("p_metadata"), sure.alias("p_quality"), F.lit(True).alias("kept"))
+    return _scored(features, model).drop("content", "metadata").withColumn("kept", F.col("p_quality") >= THRESHOLD)
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs (doc_id, text, lang, source, n_chars) without those that score() rejects.
+
+    The fitted model is a few hundred numbers, so it goes to the documents where they are read, and no text is shuffled.
+    """
+    _, model = fit(docs, labels)
+    types = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = docs.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split() for x in types.split(", "))])
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            x = np.array([content(t) for t in texts], dtype=np.float64).reshape(len(texts), CONTENT)
+            rest = zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), texts, strict=True)
+            z = np.array([metadata(*m, t.count("\n")) for *m, t in rest], dtype=np.float64).reshape(len(texts), METADATA)
+            yield b.filter(pa.array(model.scores(x, z)[2] >= THRESHOLD) if len(texts) else pa.array([], pa.bool_()))
+
+    return docs.mapInArrow(run, types)
