@@ -275,10 +275,11 @@ def kv_request_stats(spark, sf_dir):
     return stats.request_stats(oplog.table(spark, sf_dir, "events"), "event_type", "value")
 
 
-@query("SELECT o_custkey, o_orderkey, o_totalprice, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 4) AS mean FROM orders")
+@query("""WITH c AS (SELECT o_custkey, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)
+SELECT o_custkey, o_orderkey, cents, avg(cents) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS mean FROM c""")
 def kv_running_mean(spark, sf_dir):
-    runs = oplog.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    return stats.running_mean(runs, "o_custkey", "o_orderkey", "o_totalprice").withColumn("mean", F.round("mean", 4))
+    cents = F.round(F.col("o_totalprice") * 100).cast("long").alias("cents")
+    return stats.running_mean(oplog.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", cents), "o_custkey", "o_orderkey", "cents")
 
 
 @query()
