@@ -14,6 +14,8 @@ BATCH_ROWS = 500
 #: Rows of one key that one window partition of gapless_rank() is planned for.
 RANK_ROWS = 20_000
 RANK_SALTS = 64
+#: Rows of ids up to which a table is broadcast rather than joined with a shuffle: some tens of megabytes.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +53,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # the driver drops what it knows of the write's shuffles, and executors their files
     out = spark.read.schema(schema).parquet(path)
     out._siltbed_path = path
     return out
 
 
+def by_size(df: DataFrame) -> DataFrame:
+    """A written table of ids for a join: broadcast up to BROADCAST_ROWS rows, else left to a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing reads any more."""
     for df in tables:
