@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import forget, small_batches, text_or_empty, written
+from siltbed.llm.common import by_size, forget, small_batches, text_or_empty, written
 from siltbed.llm.shingles import mixed, shingled, word_hashes, words
 
 #: 48 bands of 6 minima: a pair of similarity 0.8 shares no band once in two million pairs.
@@ -19,7 +19,7 @@ HASHES = BANDS * ROWS
 #: Estimates are let through down to four standard deviations under the threshold.
 SLACK = 4.0
 #: Members of one side of a comparison tile, and pairs that a round tries for two components that share a tile.
-TILE, TRIES = 512, 8
+TILE, TRIES = 1024, 8
 
 _rng = np.random.default_rng(20240607)
 _MULTIPLY = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)
@@ -40,7 +40,7 @@ def packed(least: np.ndarray) -> np.ndarray:
     v = least.astype(np.uint64)
     v = mixed(v) & np.uint64((1 << BITS) - 1)
     per = 64 // BITS
-    v = v.reshape(len(least), -1, per) << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))
+    v = v.reshape(len(least), HASHES // per, per) << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))
     return np.bitwise_or.reduce(v, axis=2)
 
 
@@ -145,14 +145,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _across(members: DataFrame, least: float, tries: int | None) -> DataFrame:
     """Pairs (a, b) of members of one bucket and different components whose estimate is high enough.
 
-    members: key, id, component, bits. A bucket's members are dealt to blocks of about TILE, and each two blocks are
-    compared in one task, however large the bucket is. With `tries`, each two components that meet in a tile give that
-    many best pairs only; what they leave is for a later round.
+    members: key, id, component, bits. Of each bucket, the members of its largest component need only meet the others,
+    so both are dealt to blocks of about TILE, the largest component's with negative numbers, and each two blocks that
+    have something to compare are one task, however large the bucket is. A member is repeated for each block that it
+    meets: members of the largest component for those of the few others. With `tries`, each two components that meet in
+    a tile give that many best pairs only; what they leave is for a later round.
     """
-    counted = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
-    dealt = members.join(counted, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select("key", "id", "component", "bits", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    counted = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    sized = counted.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+    blocks = [F.ceil(n / TILE).cast("int").alias(c) for n, c in ((F.col("main.n"), "large"), (F.col("n") - F.col("main.n"), "small"))]
+    dealt = members.join(sized.select("key", F.col("main.component").alias("main"), *blocks), "key")
+    inside, dice = F.col("component") == F.col("main"), F.xxhash64("id")
+    own = F.when(inside, -1 - F.pmod(dice, F.col("large"))).otherwise(F.pmod(dice, F.col("small"))).cast("int")
+    others = F.sequence(F.when(inside, 0).otherwise(-F.col("large")), F.col("small") - 1)
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(others))
+    dealt = dealt.select("key", "id", "component", "bits", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     low = np.uint64((1 << 64) // ((1 << BITS) - 1))
     chance = 2.0**-BITS
 
@@ -224,7 +231,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     crowded = live.filter("n > 2").select("id").distinct()
     asked = written(tried.select(F.explode(F.array("a", "b")).alias("doc_id")).union(crowded.select("id")).distinct(), "asked")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(sets_of(texts.join(asked, "doc_id", "left_semi"), n), "sets")
+    sets = written(sets_of(texts.join(by_size(asked), "doc_id", "left_semi"), n), "sets")
     links = written(confirmed(tried, sets, percent), "links")
     members = live.filter("n > 2").select("key", "id")
     label = components(links)
