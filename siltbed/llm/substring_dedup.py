@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import forget, small_batches, text_or_empty, written
+from siltbed.llm.common import by_size, forget, small_batches, text_or_empty, written
 from siltbed.llm.shingles import mixed, shingled, word_hashes, words
 
 #: Words of a shingle and of the shortest passage; hash functions, and how many have to agree on a passage.
-SHINGLE, PASSAGE, HASHES, AGREE = 5, 50, 5, 2
+SHINGLE, PASSAGE, HASHES, AGREE = 5, 50, 4, 2
 PERCENT = 80
 #: Rounds; in each, what no earlier round has explained gets a new first document.
 ROUNDS = 2
@@ -23,30 +23,33 @@ DRIFT = 16
 #: Two stretches whose other shingles all differ are alike to 0.8 when 8 in 9 of their shingles are shared.
 MISS = 8
 
+#: Bytes of a shingle's hash that verification compares.
+KEPT = 6
 _SEEDS = mixed(np.arange(101, 101 + HASHES, dtype=np.uint64))
 
 
-def compact_windows(values: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+def compact_windows(values: np.ndarray, width: int, repeats: bool = True) -> list[tuple[int, int, int]]:
     """(l, c, r) for each node of the values' Cartesian tree that spans `width` positions or more.
 
     Every subsequence [i, j] with l <= i <= c <= j <= r has its least value at c, and each subsequence of `width` or more
-    lies in exactly one of the windows. Of equal least values the middle one divides, which keeps the tree flat on
-    repeated words.
+    lies in exactly one of the windows. Values that repeat are told apart by their place's hash, which keeps the tree
+    flat on repeated words.
     """
+    if len(values) < width:
+        return []
+    if repeats:
+        order = np.lexsort((mixed(np.arange(len(values), dtype=np.uint64)), values))
+        values = np.empty(len(order), dtype=np.int64)
+        values[order] = np.arange(len(order))
     out, todo = [], [(0, len(values) - 1)]
     while todo:
         left, right = todo.pop()
-        if right - left + 1 < width:
-            continue
-        part = values[left : right + 1]
-        c = int(part.argmin())
-        if c < len(part) // 2 and part[c + 1 :].min() == part[c]:
-            equal = np.flatnonzero(part == part[c])
-            c = int(equal[len(equal) // 2])
-        c += left
+        c = left + int(values[left : right + 1].argmin())
         out.append((left, c, right))
-        todo.append((left, c - 1))
-        todo.append((c + 1, right))
+        if c - left >= width:
+            todo.append((left, c - 1))
+        if right - c >= width:
+            todo.append((c + 1, right))
     return out
 
 
@@ -66,9 +69,10 @@ def windows(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
                 own = shingled(word_hashes(words(text)), SHINGLE)
                 if len(own) < width:
                     continue
+                repeats = len(np.unique(own)) < len(own)
                 for h in range(HASHES):
                     values = mixed(own ^ _SEEDS[h])
-                    found = compact_windows(values, width)
+                    found = compact_windows(values, width, repeats)
                     keys.append(values[[c for _, c, _ in found]])
                     ids.append(np.full(len(found), doc, dtype=np.int64))
                     rows.append(np.array([(h, *w) for w in found], dtype=np.int32))
@@ -164,7 +168,7 @@ def _verified(pairs: DataFrame, shingles: DataFrame, width: int, percent: int) -
             rows = []
             for i in range(batch.num_rows):
                 a, b, anchors, one, two = (batch.column(k)[i] for k in range(5))
-                one, two = (x.values.to_numpy(zero_copy_only=False) for x in (one, two))
+                one, two = (unpacked(x.as_py()) for x in (one, two))
                 marks = np.array(anchors.as_py(), dtype=np.int64).reshape(-1, 7)
                 for s, e, x, y, like in matched(one, two, marks, width, percent):
                     rows.append((b.as_py(), s, e + SHINGLE - 1, a.as_py(), x, y + SHINGLE - 1, like))
@@ -199,7 +203,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, percent: int = PE
     shared = written(found.groupBy("key").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).filter("_a < _b").select("key"), "shared")
     rows = written(windows(docs, passage).join(shared, "key").join(copies.select("doc_id"), "doc_id", "left_anti"), "rows")
     ids = copies.select(F.col("source_id").alias("doc_id")).union(rows.select("doc_id")).union(copies.select("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(by_size(written(ids, "ids")), "doc_id", "left_semi")
     shingles = written(_shingles(texts, width), "shingles")
 
     passages = None
@@ -225,16 +229,26 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, percent: int = PE
     return passages.dropDuplicates(["doc_id", "start", "end", "source_id"]).union(whole)
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // KEPT, 8), dtype=np.uint8)
+    out[:, :KEPT] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, KEPT)
+    return out.reshape(-1).view("<u8")
+
+
 def _shingles(docs: DataFrame, width: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [words(t) for t in b.column(1).to_pylist()]
-            hashes = [shingled(word_hashes(w), SHINGLE).view(np.int64) if len(w) >= SHINGLE else np.empty(0, np.int64) for w in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in found], pa.int32()), pa.array(hashes, pa.list_(pa.int64()))], names=["id", "n_words", "hashes"])
+            hashes = [packed(shingled(word_hashes(w), SHINGLE)) if len(w) >= SHINGLE else b"" for w in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in found], pa.int32()), pa.array(hashes, pa.binary())], names=["id", "n_words", "hashes"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "id long, n_words int, hashes array<long>")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "id long, n_words int, hashes binary")
 
 
 _WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
