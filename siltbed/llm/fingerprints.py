@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import text_or_empty
+from siltbed.llm.common import by_size, text_or_empty, written
 
 #: Words of a shingle, and the part of all hashes that a sketch retains: one in KEEP.
 WORDS, KEEP = 5, 8
@@ -60,8 +60,8 @@ def following(keys: DataFrame) -> DataFrame:
     """
     whole = Window.orderBy(F.desc("key"))
     if keys.limit(BLOCKS + 1).count() <= BLOCKS:
-        first = keys.agg(F.max("key").alias("_first"))
-        return keys.withColumn("next", F.lead("key").over(whole)).join(F.broadcast(first)).select("key", F.coalesce("next", "_first").alias("next"))
+        first = keys.agg(F.max("key")).first()[0]
+        return keys.select("key", F.coalesce(F.lead("key").over(whole), F.lit(first)).cast("long").alias("next"))
     block = F.floor(F.col("key") / IDS).cast("long")
     own = Window.partitionBy("_block").orderBy(F.desc("key"))
     tops = keys.groupBy(block.alias("key")).agg(F.max(F.col("key")).alias("_top"))
@@ -82,10 +82,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     block = F.floor(F.col("doc_id") / IDS).cast("long")
-    tops = rows.filter(F.col("doc_id").isNotNull()).groupBy(block.alias("key")).agg(F.max("doc_id").alias("doc_id"))
+    tops = written(rows.filter(F.col("doc_id").isNotNull()).groupBy(block.alias("key")).agg(F.max("doc_id").alias("doc_id")), "blocks")
     order = following(tops.select("key"))
-    to = order.join(tops.withColumnRenamed("key", "next"), "next").select("doc_id", F.col("key").alias("_block"))
-    first = rows.join(to, "doc_id").groupBy("doc_id", "_block").agg(F.min("text").alias("text"))
+    to = written(order.join(tops.withColumnRenamed("key", "next"), "next").select("doc_id", F.col("key").alias("_block")), "tops")
+    first = rows.join(by_size(to), "doc_id").groupBy("doc_id", "_block").agg(F.min("text").alias("text"))
     own = rows.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", block.alias("_block"), F.lit(False).alias("_copy"))
     both = own.union(first.select("doc_id", "text", "_block", F.lit(True)))
     line = Window.partitionBy("_block").orderBy("_copy", F.desc("doc_id"), "text")
