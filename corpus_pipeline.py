@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.llm import near_dedup, packing, pii, quality, substring_dedup
-from siltbed.llm.common import forget, table, written
+from siltbed.llm.common import by_size, forget, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,8 +21,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group stays; rows without doc_id and texts without words stay."""
-    gone = near_dedup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = written(near_dedup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    return docs.select(*COLUMNS).join(by_size(gone), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
