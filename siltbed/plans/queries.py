@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -243,10 +246,17 @@ def kv_store_scan(spark, sf_dir):
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new folder where the cluster shares checkpoints; on one machine, where none is named, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siltbed-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="siltbed-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
 # -- statistics
 
 
