@@ -14,7 +14,7 @@ from siltbed.llm.common import by_size, forget, small_batches, text_or_empty, wr
 from siltbed.llm.shingles import mixed, shingled, word_hashes, words
 
 #: Words of a shingle and of the shortest passage; hash functions, and how many have to agree on a passage.
-SHINGLE, PASSAGE, HASHES, AGREE = 5, 50, 4, 2
+SHINGLE, PASSAGE, HASHES, AGREE = 5, 50, 5, 2
 PERCENT = 80
 #: Rounds; in each, what no earlier round has explained gets a new first document.
 ROUNDS = 2
@@ -201,7 +201,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, percent: int = PE
 
     found = windows(docs, passage)
     shared = written(found.groupBy("key").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).filter("_a < _b").select("key"), "shared")
-    rows = written(windows(docs, passage).join(shared, "key").join(copies.select("doc_id"), "doc_id", "left_anti"), "rows")
+    rows = written(windows(docs, passage).join(shared, "key").join(by_size(copies.select("doc_id").distinct()), "doc_id", "left_anti"), "rows")
     ids = copies.select(F.col("source_id").alias("doc_id")).union(rows.select("doc_id")).union(copies.select("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(by_size(written(ids, "ids")), "doc_id", "left_semi")
     shingles = written(_shingles(texts, width), "shingles")
