@@ -20,8 +20,6 @@ PERCENT = 80
 ROUNDS = 2
 #: How far apart, in words, the places of two anchors of one passage may drift.
 DRIFT = 16
-#: Two stretches whose other shingles all differ are alike to 0.8 when 8 in 9 of their shingles are shared.
-MISS = 8
 
 #: Bytes of a shingle's hash that verification compares.
 KEPT = 6
@@ -91,8 +89,7 @@ def matched(a: np.ndarray, b: np.ndarray, anchors: np.ndarray, width: int, perce
 
     a, b: shingle hashes of whole texts. anchors: rows (h, l, c, r in a; l, c, r in b). Anchors are put together by how
     far their places in the two texts are apart; where AGREE hash functions meet in overlapping windows of b, the
-    windows' span is searched for runs whose shingles stand in the other span, and a run is a passage if it is `width`
-    long and alike enough as a set.
+    windows' span is searched for stretches that stand in the other span.
     """
     out: list[tuple[int, int, int, int, float]] = []
     order = np.lexsort((anchors[:, 5], anchors[:, 5] - anchors[:, 2]))
@@ -106,26 +103,99 @@ def matched(a: np.ndarray, b: np.ndarray, anchors: np.ndarray, width: int, perce
             if len(set(spans[:, 0].tolist())) < AGREE:
                 continue
             la, ra, lb, rb = int(spans[:, 1].min()), int(spans[:, 3].max()), int(spans[:, 4].min()), int(spans[:, 6].max())
-            one, two = a[la : ra + 1], b[lb : rb + 1]
-            hit = np.isin(two, one)
-            for s, e in dense(hit, width):
-                tries = [(s, e)] if _source(one, two[s:e], width, percent) else [(s + x, s + y) for x, y in runs(hit[s:e]) if y - x >= width]
-                for x, y in tries:
-                    if place := _source(one, two[x:y], width, percent):
-                        out.append((lb + x, lb + y, la + place[0], la + place[1], place[2]))
+            out += [(lb + s, lb + e, la + x, la + y, like) for s, e, x, y, like in stretches(a[la : ra + 1], b[lb : rb + 1], width, percent)]
     return out
 
 
-def _source(one: np.ndarray, part: np.ndarray, width: int, percent: int) -> tuple[int, int, float] | None:
-    """Where in `one` the part stands, and how alike the two sets are; None if nowhere alike enough."""
+def stretches(one: np.ndarray, two: np.ndarray, width: int, percent: int) -> list[tuple[int, int, int, int, float]]:
+    """(start, end, start in one, end in one, similarity) of two's stretches of `width` or more that stand in one, alike enough as sets.
+
+    A stretch runs from a hit to a hit over any gaps, as long as the whole is alike; those that lie in another are left
+    out. One whose hits span less than `width` is filled up with its neighbours, if it is alike with them.
+    """
+    hit, before = np.isin(two, one), _before(two)
+    zones = [(x, y) for x, y in _zones(hit, before, 100 - percent, percent, 0) if y - x >= width]
+    if not zones:
+        return []
+    # Hits side by side are one piece if they are side by side in `one` too.
+    joint = hit[:-1] & hit[1:] & np.isin(mixed(two[:-1]) + two[1:], mixed(one[:-1]) + one[1:])
+    starts = np.flatnonzero(hit & ~np.concatenate([[False], joint]))
+    ends = np.flatnonzero(hit & ~np.concatenate([joint, [False]])) + 1
+    behind, least = _before(one), width * percent // 100
+    out: list[tuple[int, int, int, int, float]] = []
+    for low, high in zones:
+        reach = 0
+        for s in starts[(starts >= low) & (starts < high)].tolist():
+            stops = ends[(ends >= max(s + width, reach + 1)) & (ends <= high)]
+            if not len(stops):
+                break
+            new = before[s:high] < s
+            n, shared = np.cumsum(new)[stops - s - 1], np.cumsum(new & hit[s:high])[stops - s - 1]
+            good = 100 * shared >= percent * n
+            stops, n = stops[good], n[good]
+            k = len(stops) - 1
+            while k >= 0:
+                e = int(stops[k])
+                x, y, like, enough = _source(one, behind, two[s:e], least, percent)
+                if enough:
+                    out.append((s, e, x, y, like))
+                    reach = e
+                    break
+                # With m fewer distinct shingles, the similarity of u in all can't rise by more than a factor of (u + m) / u.
+                maybe = np.flatnonzero(100 * like * (n[k] - n[:k]) >= (percent - 100 * like) * n[:k])
+                k = int(maybe[-1]) if len(maybe) else -1
+    for low, high in zones:
+        new = np.lib.stride_tricks.sliding_window_view(before[low:high], width) < np.arange(low, high - width + 1)[:, None]
+        hits = np.lib.stride_tricks.sliding_window_view(hit[low:high], width)
+        left = low + np.flatnonzero(100 * (new & hits).sum(axis=1) >= percent * new.sum(axis=1))
+        left = left[hits[left - low].any(axis=1)]
+        first, last = left + hits[left - low].argmax(axis=1), left + width - 1 - hits[left - low][:, ::-1].argmax(axis=1)
+        for x, y, *_ in out:
+            open_ = (first < x) | (last >= y)
+            left, first, last = left[open_], first[open_], last[open_]
+        for s, own, end in zip(left.tolist(), first.tolist(), last.tolist(), strict=True):
+            if out and out[-1][0] <= own and end < out[-1][1]:
+                continue
+            x, y, like, enough = _source(one, behind, two[s : s + width], least, percent)
+            if enough:
+                out.append((s, s + width, x, y, like))
+    return out
+
+
+def _before(values: np.ndarray) -> np.ndarray:
+    """For each place, the place before it that holds the same value, or -1."""
+    order = np.argsort(values, kind="stable")
+    out = np.full(len(values), -1, dtype=np.int64)
+    same = values[order[1:]] == values[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _zones(hit: np.ndarray, before: np.ndarray, gain: float, loss: float, need: float) -> list[tuple[int, int]]:
+    """Runs of places in stretches that score `need` or more: a hit gains, and a value's first place that isn't one loses."""
+    total = np.concatenate([[0.0], np.cumsum(np.where(hit, gain, np.where(before < 0, -loss, 0.0)))])
+    return runs(np.maximum.accumulate(total[::-1])[::-1][1:] - np.minimum.accumulate(total)[:-1] >= need)
+
+
+def _source(one: np.ndarray, behind: np.ndarray, part: np.ndarray, least: int, percent: int) -> tuple[int, int, float, bool]:
+    """The stretch of `one` that is most like the part as a set, how alike, and whether enough; half of what is asked for counts as the least."""
     p = np.unique(part)
-    best = None
-    for x, y in dense(np.isin(one, p), width * percent // 100):
-        q = np.unique(one[x:y])
-        shared = len(np.intersect1d(p, q, assume_unique=True))
-        like = shared / (len(p) + len(q) - shared)
-        if 100 * shared >= percent * (len(p) + len(q) - shared) and (best is None or like > best[2]):
-            best = (x, y, like)
+    hit = np.isin(one, p)
+    found = runs(hit)
+    starts, ends = (np.array([r[k] for r in found], dtype=np.int64) for k in (0, 1))
+    low = percent / 200
+    best = (0, 0, low, False)
+    for x, y in _zones(hit, behind, 1, low, low * len(p)):
+        for s in starts[(starts >= x) & (starts < y)].tolist():
+            stops = ends[(ends >= s + least) & (ends <= y)]
+            if not len(stops):
+                break
+            new = behind[s:y] < s
+            shared, n = np.cumsum(new & hit[s:y])[stops - s - 1], np.cumsum(new)[stops - s - 1]
+            union = len(p) + n - shared
+            k = int((shared / union).argmax())
+            if shared[k] / union[k] > best[2]:
+                best = (s, int(stops[k]), float(shared[k] / union[k]), bool(100 * shared[k] >= percent * union[k]))
     return best
 
 
@@ -134,28 +204,6 @@ def runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def dense(hit: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """The maximal stretches of `width` or more with at least MISS hits for every position that isn't one.
-
-    These are the maximal scoring subsequences of 1 for a hit and -MISS for any other position, found in one pass over
-    the runs of hits.
-    """
-    kept: list[tuple[int, int, int, int]] = []  # start, end, score before the start, score at the end
-    score = at = 0
-    for start, end in runs(hit):
-        low = score - MISS * (start - at)
-        score, at = low + end - start, end
-        new = (start, end, low, score)
-        while True:
-            k = next((k for k in range(len(kept) - 1, -1, -1) if kept[k][2] < new[2]), -1)
-            if k < 0 or kept[k][3] >= new[3]:
-                kept.append(new)
-                break
-            new = (kept[k][0], new[1], kept[k][2], new[3])
-            del kept[k:]
-    return [(s, e) for s, e, _, _ in kept if e - s >= width]
-
-
 FOUND = "doc_id long, start int, end int, source_id long, source_start int, source_end int, similarity double"
 
 

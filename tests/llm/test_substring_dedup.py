@@ -96,3 +96,18 @@ def test_without():
     assert substring_dedup.without(" a b\tc d ", [(1, 3)]) == "a  d"
     assert substring_dedup.without("a b c", [(0, 2), (1, 3)]) == ""
     assert substring_dedup.without("a b c", [(2, 9), (7, 8)]) == "a b"
+
+
+def test_one_changed_word_anywhere():
+    rng = np.random.default_rng(5)
+    for n in range(50, 101, 5):
+        for at in range(n):
+            a, b, passage = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (70, 90, n))
+            near = passage.copy()
+            near[at] = 1
+            one, two = (substring_dedup.shingled(np.concatenate([x[:40], y, x[40:]]), 5) for x, y in ((a, passage), (b, near)))
+            anchors = np.array([(h, 0, 50, len(one) - 1, 0, 50, len(two) - 1) for h in (0, 1)])
+            got = substring_dedup.matched(one, two, anchors, 46, 80)
+            assert all(e - s >= 46 and like >= 0.8 for s, e, _, _, like in got)
+            words = {w for s, e, *_ in got for w in range(s - 40, e + 4 - 40)}
+            assert set(range(at + 1 if at < 5 else 0, at if at >= n - 5 else n)) <= words <= set(range(-9, n + 9)), (n, at)
