@@ -18,8 +18,6 @@ SHINGLE, PASSAGE, HASHES, AGREE = 5, 50, 5, 2
 PERCENT = 80
 #: Rounds; in each, what no earlier round has explained gets a new first document.
 ROUNDS = 2
-#: How far apart, in words, the places of two anchors of one passage may drift.
-DRIFT = 16
 
 #: Bytes of a shingle's hash that verification compares.
 KEPT = 6
@@ -87,23 +85,16 @@ def windows(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
 def matched(a: np.ndarray, b: np.ndarray, anchors: np.ndarray, width: int, percent: int) -> list[tuple[int, int, int, int, float]]:
     """(start, end, source start, source end, similarity), in shingles, of b's passages that stand in a too.
 
-    a, b: shingle hashes of whole texts. anchors: rows (h, l, c, r in a; l, c, r in b). Anchors are put together by how
-    far their places in the two texts are apart; where AGREE hash functions meet in overlapping windows of b, the
-    windows' span is searched for stretches that stand in the other span.
+    a, b: shingle hashes of whole texts. anchors: rows (h, l, r in a; l, r in b). Where windows of b overlap, their span
+    is searched for stretches that stand in the span of all their windows in a, so it doesn't matter how often or in
+    which order a holds them.
     """
     out: list[tuple[int, int, int, int, float]] = []
-    order = np.lexsort((anchors[:, 5], anchors[:, 5] - anchors[:, 2]))
-    anchors = anchors[order]
-    shift = anchors[:, 5] - anchors[:, 2]
-    cuts = np.flatnonzero(np.diff(shift) > DRIFT) + 1
-    for group in np.split(anchors, cuts):
-        group = group[np.argsort(group[:, 4], kind="stable")]
-        reach = np.maximum.accumulate(group[:, 6])
-        for spans in np.split(group, np.flatnonzero(group[1:, 4] > reach[:-1]) + 1):
-            if len(set(spans[:, 0].tolist())) < AGREE:
-                continue
-            la, ra, lb, rb = int(spans[:, 1].min()), int(spans[:, 3].max()), int(spans[:, 4].min()), int(spans[:, 6].max())
-            out += [(lb + s, lb + e, la + x, la + y, like) for s, e, x, y, like in stretches(a[la : ra + 1], b[lb : rb + 1], width, percent)]
+    anchors = anchors[np.argsort(anchors[:, 3], kind="stable")]
+    reach = np.maximum.accumulate(anchors[:, 4])
+    for spans in np.split(anchors, np.flatnonzero(anchors[1:, 3] > reach[:-1]) + 1):
+        la, ra, lb, rb = int(spans[:, 1].min()), int(spans[:, 2].max()), int(spans[:, 3].min()), int(spans[:, 4].max())
+        out += [(lb + s, lb + e, la + x, la + y, like) for s, e, x, y, like in stretches(a[la : ra + 1], b[lb : rb + 1], width, percent)]
     return out
 
 
@@ -208,7 +199,7 @@ FOUND = "doc_id long, start int, end int, source_id long, source_start int, sour
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame, width: int, percent: int) -> DataFrame:
-    """pairs: a, b, anchors (arrays of 7). Each pair meets its two texts' shingles in joins that Spark splits by size."""
+    """pairs: a, b, anchors (arrays of 5). Each pair meets its two texts' shingles in joins that Spark splits by size."""
     both = pairs.join(shingles.select(F.col("id").alias("a"), F.col("hashes").alias("_a")), "a").join(shingles.select(F.col("id").alias("b"), F.col("hashes").alias("_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +208,7 @@ def _verified(pairs: DataFrame, shingles: DataFrame, width: int, percent: int) -
             for i in range(batch.num_rows):
                 a, b, anchors, one, two = (batch.column(k)[i] for k in range(5))
                 one, two = (unpacked(x.as_py()) for x in (one, two))
-                marks = np.array(anchors.as_py(), dtype=np.int64).reshape(-1, 7)
+                marks = np.array(anchors.as_py(), dtype=np.int64).reshape(-1, 5)
                 for s, e, x, y, like in matched(one, two, marks, width, percent):
                     rows.append((b.as_py(), s, e + SHINGLE - 1, a.as_py(), x, y + SHINGLE - 1, like))
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
@@ -258,8 +249,8 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, percent: int = PE
     for _ in range(ROUNDS):
         first = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("_z")).filter("a < _z").select("key", "a")
         near = written(rows.join(first, "key"), "near")
-        widest = near.filter("doc_id = a").groupBy("key").agg(F.max_by(F.struct("l", "c", "r"), F.struct(F.col("r") - F.col("l"), F.col("l"))).alias("w"))
-        anchors = near.filter("doc_id <> a").join(widest, "key").select("a", F.col("doc_id").alias("b"), "h", F.array(F.col("h"), "w.l", "w.c", "w.r", "l", "c", "r").alias("anchor"))
+        reach = near.filter("doc_id = a").groupBy("key").agg(F.min("l").alias("_l"), F.max("r").alias("_r"))
+        anchors = near.filter("doc_id <> a").join(reach, "key").select("a", F.col("doc_id").alias("b"), "h", F.array("h", "_l", "_r", "l", "r").alias("anchor"))
         pairs = anchors.groupBy("a", "b").agg(F.flatten(F.collect_list("anchor")).alias("anchors"), F.countDistinct("h").alias("n")).filter(F.col("n") >= AGREE).drop("n")
         got = written(_verified(pairs, shingles, width, percent), "passages")
         passages = got if passages is None else written(passages.union(got), "passages")

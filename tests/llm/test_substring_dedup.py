@@ -106,8 +106,20 @@ def test_one_changed_word_anywhere():
             near = passage.copy()
             near[at] = 1
             one, two = (substring_dedup.shingled(np.concatenate([x[:40], y, x[40:]]), 5) for x, y in ((a, passage), (b, near)))
-            anchors = np.array([(h, 0, 50, len(one) - 1, 0, 50, len(two) - 1) for h in (0, 1)])
+            anchors = np.array([(h, 0, len(one) - 1, 0, len(two) - 1) for h in (0, 1)])
             got = substring_dedup.matched(one, two, anchors, 46, 80)
             assert all(e - s >= 46 and like >= 0.8 for s, e, _, _, like in got)
             words = {w for s, e, *_ in got for w in range(s - 40, e + 4 - 40)}
             assert set(range(at + 1 if at < 5 else 0, at if at >= n - 5 else n)) <= words <= set(range(-9, n + 9)), (n, at)
+
+
+def test_source_that_repeats_its_passage(spark):
+    rng = random.Random(9)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    texts, want = [], {}
+    for n, times in enumerate((20, 100) * 10):
+        passage = text(60)
+        texts += [(n, " ".join(w for _ in range(times) for w in passage)), (n + 100, " ".join(text(70) + passage + text(70)))]
+        want[n + 100] = set(range(70, 130))
+    got = covered(substring_dedup.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert all(want[d] <= got[d] for d in want)
