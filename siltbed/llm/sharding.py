@@ -71,15 +71,48 @@ def _level(items: DataFrame, blocks: int) -> DataFrame:
     return dealt.groupBy("block").applyInArrow(combine, "item binary, block int, goes array<int>")
 
 
+def _beside(groups: DataFrame, sums: list[int], blocks: int) -> DataFrame:
+    """Item and shard of groups that fill shards which hold `sums` bytes already.
+
+    Each block is differenced together with its share, by bytes, of what is uneven in the sums, so that all blocks
+    leave room where the sums are high.
+    """
+    k = len(sums)
+    uneven = [x - min(sums) for x in sums]
+    total = groups.agg(F.sum("bytes")).first()[0] or 1
+
+    def combine(part: pa.Table) -> pa.Table:
+        part = part.sort_by("item")
+        sizes = part.column("bytes").to_pylist()
+        own = sum(sizes)
+        goes = difference([tuple(x * own // total for x in uneven), *((x, *[0] * (k - 1)) for x in sizes)])
+        shard = [0] * k
+        for s, place in enumerate(goes[0]):
+            shard[place] = s
+        return pa.table({"item": part.column("item").cast(pa.binary()), "slot": pa.array([shard[g[0]] for g in goes[1:]], pa.int32())})
+
+    dealt = groups.select("item", "bytes", F.pmod(F.xxhash64("item", F.lit(blocks)), F.lit(blocks)).cast("int").alias("block"))
+    return dealt.groupBy("block").applyInArrow(combine, "item binary, slot int").select("item", F.col("slot").alias("shard"))
+
+
 def shards_of(groups: DataFrame, shards: int) -> DataFrame:
     """groups: item binary (unique), bytes long. Returns item, shard.
 
     A block of about FAN_IN groups is differenced in one task; its k sums are one item of the next level, until one
-    block is left. A level has a FAN_IN-th of the rows of the one before, and no level comes to the driver.
+    block is left. A level has a FAN_IN-th of the rows of the one before, and no level comes to the driver. Groups that
+    are larger than a block's mean slot, fewer than blocks times shards, are dealt first, and blocks fill up beside them.
     """
-    left = groups.count()
-    first = F.array(F.col("bytes"), *[F.lit(0).cast("long")] * (shards - 1))
+    left, total = groups.agg(F.count(F.lit(1)), F.sum("bytes")).first()
     blocks = max(1, -(-left // FAN_IN))
+    if blocks > 1:
+        size = F.col("bytes") * blocks * shards
+        large = written(groups.filter(size > total), "large")
+        if large.limit(1).count():
+            top = written(shards_of(large, shards), "top")
+            sums = {r["shard"]: r["bytes"] for r in top.join(large, "item").groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()}
+            rest = groups.filter(size <= total)
+            return top.union(_beside(rest, [sums.get(s, 0) for s in range(shards)], blocks))
+    first = F.array(F.col("bytes"), *[F.lit(0).cast("long")] * (shards - 1))
     done = written(_level(groups.select("item", first.alias("slots")), blocks), "level").select("item", "block", F.element_at("goes", 1).alias("slot"))
     sized = done.join(groups, "item")
     while blocks > 1:

@@ -43,6 +43,21 @@ def test_shard_odd_rows(spark, monkeypatch):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_large_groups_beside_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FAN_IN", 128)
+    rng = random.Random(4)
+    sizes = [rng.randrange(100, 20_000) for _ in range(2000)]
+    for shares in ((0.06,), (0.12, 0.05), (1 / 3,)):
+        large = [int(sum(sizes) * x / (1 - sum(shares))) for x in shares]
+        groups = [(str(n).encode(), x) for n, x in enumerate(sizes + large)]
+        got = {bytes(r["item"]): r["shard"] for r in sharding.shards_of(spark.createDataFrame(groups, "item binary, bytes long"), SHARDS).collect()}
+        total = collections.Counter()
+        for item, x in groups:
+            total[got[item]] += x
+        even = sum(x for _, x in groups) / SHARDS
+        assert len(got) == len(groups) and max(total.values()) <= 1.01 * max(even, *large), (shares, total)
+
+
 def test_difference_is_tight():
     rng = random.Random(2)
     sizes = [rng.randrange(1, 20_000) for _ in range(1000)]
