@@ -26,7 +26,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"\b(?:token|secret|api[_-]?key|password|passwd)\b\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9_/+-]{16,256})", re.I)
+_SECRET = re.compile(r"\b(?:token|secret|api[_-]?key|password|passwd)\b\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9_/+-]{16,})", re.I)
 _CONTEXT = {
     "email": re.compile(r"\b(?:e-?mail|contact|write to)\b", re.I),
     "ip": re.compile(r"\b(?:ip|host|server|address)\b", re.I),

@@ -76,3 +76,11 @@ def test_odd_rows(spark):
 def test_redacted():
     assert pii.redacted("write to a.b@c.org or +1 (743) 555-3824") == "write to <email> or <phone>"
     assert pii.redacted("nothing here") == "nothing here"
+
+
+def test_long_secret_is_masked_whole():
+    for n in (16, 256, 257, 5000):
+        key = ("aB3_" * n)[:n]
+        text = f"token = {key} end"
+        assert [(s, e) for s, k, e, _ in pii.find(text) if pii.KINDS[k] == "secret"] == [(8, 8 + n)]
+        assert pii.redacted(text) == "token = <secret> end"
