@@ -30,9 +30,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests on one machine), a temporary one."""
+    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one, on a single machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = spark.sparkContext._conf.get("siltbed.own.dir")
         if not named:
             named = "file://" + tempfile.mkdtemp(prefix="siltbed-")
@@ -53,7 +55,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # the driver drops what it knows of the write's shuffles, and executors their files
     out = spark.read.schema(schema).parquet(path)
     out._siltbed_path = path
     return out

@@ -11,15 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.llm.common import by_size, forget, small_batches, text_or_empty, written
-from siltbed.llm.shingles import mixed, shingled, word_hashes, words
+from siltbed.llm.shingles import hashed_words, mixed, shingled_rows
 
 #: 48 bands of 6 minima: a pair of similarity 0.8 shares no band once in two million pairs.
 BANDS, ROWS, BITS = 48, 6, 4
 HASHES = BANDS * ROWS
 #: Estimates are let through down to four standard deviations under the threshold.
 SLACK = 4.0
-#: Members of one side of a comparison tile, and pairs that a round tries for two components that share a tile.
-TILE, TRIES = 1024, 8
+#: Members, and shingles of their sets, that one side of a comparison tile is planned for.
+TILE, TILE_SHINGLES = 1024, 1 << 20
+#: First documents that a document is compared with at once, and rounds of likely links before all others are compared.
+TRIES, LIKELY = 8, 2
 
 _rng = np.random.default_rng(20240607)
 _MULTIPLY = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)
@@ -59,8 +61,9 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, keys, least, at = [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                own = np.unique(shingled(word_hashes(words(text)), n))
+            hashes, to = shingled_rows(*hashed_words(b.column(1)), n)
+            for i in range(b.num_rows):
+                own = np.unique(hashes[to[i] : to[i + 1]])
                 sizes.append(len(own))
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                 if len(own):
@@ -86,7 +89,8 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingled(word_hashes(words(t)), n)).view(np.int64) for t in b.column(1).to_pylist()]
+            hashes, to = shingled_rows(*hashed_words(b.column(1)), n)
+            sets = [np.unique(hashes[to[i] : to[i + 1]]).view(np.int64) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "id long, set array<long>")
@@ -142,83 +146,172 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("_a") + F.size("_b") - shared)).select("a", "b").distinct()
 
 
-def _across(members: DataFrame, least: float, tries: int | None) -> DataFrame:
-    """Pairs (a, b) of members of one bucket and different components whose estimate is high enough.
+def _differing(d: np.ndarray) -> np.ndarray:
+    """Of each row of differing bits, how many groups differ."""
+    g = d.copy()
+    for k in range(1, BITS):
+        g |= d >> np.uint64(k)
+    return np.bitwise_count(g & np.uint64((1 << 64) // ((1 << BITS) - 1))).sum(axis=1)
 
-    members: key, id, component, bits. Of each bucket, the members of its largest component need only meet the others,
-    so both are dealt to blocks of about TILE, the largest component's with negative numbers, and each two blocks that
-    have something to compare are one task, however large the bucket is. A member is repeated for each block that it
-    meets: members of the largest component for those of the few others. With `tries`, each two components that meet in
-    a tile give that many best pairs only; what they leave is for a later round.
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """members: key, id, component, n_shingles and more. Adds own, i and j: members whose i and j agree meet in one task.
+
+    Of each bucket, the members of its largest component need only meet the others, so both are dealt to blocks of about
+    TILE members, the largest component's with negative numbers, and each two blocks that have something to compare are
+    one tile, however large the bucket is. A member is repeated for each block that it meets: members of the largest
+    component for those of the few others.
     """
-    counted = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    sized = counted.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
-    blocks = [F.ceil(n / TILE).cast("int").alias(c) for n, c in ((F.col("main.n"), "large"), (F.col("n") - F.col("main.n"), "small"))]
-    dealt = members.join(sized.select("key", F.col("main.component").alias("main"), *blocks), "key")
+    counted = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    sized = counted.groupBy("key").agg(F.max(F.struct("n", "component", "w")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    blocks = [
+        F.greatest(F.ceil(n / TILE), F.ceil(w / TILE_SHINGLES), F.lit(1)).cast("int").alias(c)
+        for n, w, c in ((F.col("main.n"), F.col("main.w"), "large"), (F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w"), "small"))
+    ]
+    sized = written(sized.select("key", F.col("main.component").alias("main"), *blocks), "sized")
+    dealt = members.join(by_size(sized), "key")
     inside, dice = F.col("component") == F.col("main"), F.xxhash64("id")
     own = F.when(inside, -1 - F.pmod(dice, F.col("large"))).otherwise(F.pmod(dice, F.col("small"))).cast("int")
     others = F.sequence(F.when(inside, 0).otherwise(-F.col("large")), F.col("small") - 1)
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(others))
-    dealt = dealt.select("key", "id", "component", "bits", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    low = np.uint64((1 << 64) // ((1 << BITS) - 1))
-    chance = 2.0**-BITS
+    dealt = dealt.withColumn("own", own).withColumn("_other", F.explode(others))
+    return dealt.withColumn("i", F.least("own", "_other")).withColumn("j", F.greatest("own", "_other")).drop("_other", "main", "large", "small")
 
-    def compare(t: pa.Table) -> pa.Table:
-        ids, comps, own = (t.column(c).to_numpy() for c in ("id", "component", "own"))
-        bits = np.array(t.column("bits").to_pylist(), dtype=np.int64).view(np.uint64)
+
+class _Tile:
+    """Two blocks of a bucket's members, or one with itself, and the pairs of them that may be alike."""
+
+    def __init__(self, t: pa.Table, least: float):
+        self.ids, self.label, own = (t.column(c).to_numpy().copy() for c in ("id", "component", "own"))
+        self.bits, bands = (np.stack(t.column(c).to_numpy()).view(np.uint64) for c in ("bits", "bands"))
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        rows, columns = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
-        out = []
-        for r in rows:
-            where = columns[(columns > r) if i == j else slice(None)]
-            where = where[comps[where] != comps[r]]
-            if not len(where):
+        self.rows, self.columns, self.same = np.flatnonzero(own == i), np.flatnonzero(own == j), i == j
+        band = int(np.flatnonzero(bands[0] == np.uint64(t.column("key")[0].as_py() & (1 << 64) - 1))[0])
+        self.before, self.least = bands[:, :band], least
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """A row and others, likeliest first, that are in other components by now, seem alike, and share no earlier band.
+
+        Two members that share an earlier band meet in that bucket.
+        """
+        chance = 2.0**-BITS
+        for r in self.rows.tolist():
+            others = self.columns[self.columns > r] if self.same else self.columns
+            others = others[(self.label[others] != self.label[r]) & (self.ids[others] != self.ids[r])]
+            if not len(others):
                 continue
-            d = bits[r] ^ bits[where]
-            g = d.copy()
-            for k in range(1, BITS):
-                g |= d >> np.uint64(k)
-            missed = np.bitwise_count(g & low).sum(axis=1)
-            est = ((1 - missed / HASHES) - chance) / (1 - chance)
-            for w, e in zip(where[est >= least], est[est >= least], strict=True):
-                a, b = sorted((int(ids[r]), int(ids[w])))
-                if a == b:
+            estimate = ((1 - _differing(self.bits[others] ^ self.bits[r]) / HASHES) - chance) / (1 - chance)
+            order = np.argsort(-estimate, kind="stable")
+            others = others[order[estimate[order] >= self.least]]
+            others = others[~(self.before[others] == self.before[r]).any(axis=1)]
+            if len(others):
+                yield r, others
+
+    def join(self, r: int, other: int) -> tuple[int, int]:
+        self.label[self.label == self.label[other]] = self.label[r]
+        return tuple(sorted((int(self.ids[r]), int(self.ids[other]))))
+
+
+def _pairs(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+
+
+def _likely(dealt: DataFrame, least: float) -> DataFrame:
+    """Pairs that would join all members that seem alike: fewer than a tile has members."""
+
+    def compare(t: pa.Table) -> pa.Table:
+        tile, out = _Tile(t, least), []
+        for r, others in tile.candidates():
+            for w in others.tolist():
+                if tile.label[w] != tile.label[r]:
+                    out.append(tile.join(r, w))
+        return _pairs(out)
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _open(dealt: DataFrame, least: float) -> DataFrame:
+    """key, id of members that seem alike to one of another component."""
+
+    def compare(t: pa.Table) -> pa.Table:
+        tile, out = _Tile(t, least), set()
+        for r, others in tile.candidates():
+            out.update((r, *others.tolist()))
+        at = np.array(sorted(out), dtype=np.int64)
+        return pa.table({"key": t.column("key").take(pa.array(at)), "id": pa.array(tile.ids[at], pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "key long, id long").distinct()
+
+
+def _confirmed_in_tiles(dealt: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links between different components, each confirmed on full sets in its tile: fewer than a tile has members.
+
+    dealt has `set` too. Every pair that seems alike is compared unless links join its two members already.
+    """
+
+    def compare(t: pa.Table) -> pa.Table:
+        tile, out = _Tile(t, least), []
+        sets = t.column("set").combine_chunks()
+        values, at = sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy()
+        for r, others in tile.candidates():
+            own = values[at[r] : at[r + 1]]
+            for low in range(0, len(others), 64):
+                part = others[low : low + 64]
+                part = part[tile.label[part] != tile.label[r]]
+                if not len(part):
                     continue
-                if tries is None:
-                    out.append((a, b))
-                else:
-                    found.setdefault(tuple(sorted((int(comps[r]), int(comps[w])))), []).append((-e, a, b))
-        for best in found.values():
-            out += [(a, b) for _, a, b in sorted(best)[:tries]]
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+                both = np.concatenate([values[at[w] : at[w + 1]] for w in part])
+                sizes = at[part + 1] - at[part]
+                found = own[np.minimum(np.searchsorted(own, both), len(own) - 1)] == both
+                shared = np.add.reduceat(found, np.cumsum(sizes) - sizes, dtype=np.int64)
+                for w in part[100 * shared >= percent * (len(own) + sizes - shared)].tolist():
+                    if tile.label[w] != tile.label[r]:
+                        out.append(tile.join(r, w))
+        return _pairs(out)
 
     return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (id, component) after more links (a, b); ids without a label are components of their own."""
+    named = links
+    for c in ("a", "b"):
+        named = named.join(label.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+    moved = written(components(named.filter("a <> b")), "moved")
+    after = label.join(moved.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+    out = written(after.union(moved.join(label.select("id"), "id", "left_anti").select("id", "component")), "label")
+    forget(moved)
+    return out
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
-    Two documents are linked when 100 times their shared shingles are at least `percent` times all of theirs; a
-    component is what links reach, named by its smallest doc_id, whose document is kept. A document without words is
-    linked with nothing. Rows that repeat a doc_id are one document. A row without doc_id has no component and is kept.
-    No documents: no rows.
+    docs: doc_id and text; other columns are ignored. Two documents are linked when 100 times their shared shingles are
+    at least `percent` times all of theirs; a component is what links reach, named by its smallest doc_id, whose document
+    is kept. A document whose text is null, empty or without words is linked with nothing. Rows that repeat a doc_id are
+    one document. A row without doc_id has no component and is kept. No documents: no rows.
 
     Equal sets are one class from the start, summed before the shuffle, and only a class's first document goes on. In
-    each bucket of a band its members meet the first one; the pairs whose signatures are alike enough, up to TRIES for
-    a document, are confirmed on full sets. Then the members of a bucket that are in different components still meet
-    each other, in tiles of bounded size: round by round with a few pairs for two components, while that joins any, and
-    at last with every pair that is left. So every two documents that share a band are either in one component or
-    compared, and no group is gathered in one task.
+    each bucket of a band its members meet the first one, and the TRIES likeliest for each document are confirmed on full
+    sets. Then members of a bucket that are in different components still meet each other, in tiles of bounded size:
+    first for links that would join all that seem alike, confirmed with a join, and at last all pairs that seem alike are
+    compared on full sets in their tile, unless they are joined by then. So every two documents that share a band are
+    either in one component or compared, no group is gathered in one task, and no step gives more rows than it has
+    members: pairs themselves leave a tile only as links that join two components.
     """
     least = least_estimate(percent)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = written(signatures(docs, n), "signatures")
     some = found.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = written(some.groupBy("set_key").agg(F.min("doc_id").alias("first")), "classes")
     firsts = some.join(classes.select("set_key", F.col("first").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
-    bits = written(firsts.select(F.col("doc_id").alias("id"), "bits").dropDuplicates(["id", "bits"]), "bits")
-    keys = firsts.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    shared = written(keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("n")).filter("pivot < _last").select("key", "pivot", "n"), "shared")
+    one = [F.first(c).alias(c) for c in ("n_shingles", "bits", "bands")]
+    signs = written(firsts.groupBy(F.col("doc_id").alias("id")).agg(*one, F.count(F.lit(1)).alias("rows")), "signs")
+    if signs.filter("rows > 1").limit(1).count():
+        texts = texts.dropDuplicates(["doc_id"])
+    bits = signs.select("id", "bits")
+    keys = signs.select("id", F.explode("bands").alias("key"))
+    shared = written(keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_last")).filter("pivot < _last").select("key", "pivot"), "shared")
     live = written(keys.join(shared, "key"), "live")
 
     pairs = live.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
@@ -227,36 +320,51 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     best = Window.partitionBy("b").orderBy(F.desc("est"), "a")
     tried = written(est.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= TRIES).select("a", "b").distinct(), "tried")
 
-    # Two documents alone in a bucket have met; later rounds ask for those of larger buckets only. One pass gives all sets.
-    crowded = live.filter("n > 2").select("id").distinct()
-    asked = written(tried.select(F.explode(F.array("a", "b")).alias("doc_id")).union(crowded.select("id")).distinct(), "asked")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(sets_of(texts.join(by_size(asked), "doc_id", "left_semi"), n), "sets")
-    links = written(confirmed(tried, sets, percent), "links")
-    members = live.filter("n > 2").select("key", "id")
-    label = components(links)
-    every = False
-    while True:
-        placed = written(members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
-        mixed_keys = placed.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x < _y").select("key")
-        rest = placed.join(mixed_keys, "key", "left_semi").join(bits, "id")
-        new = _across(rest, least, None if every else TRIES)
-        new = written(new.join(tried, ["a", "b"], "left_anti"), "tried")
-        more = written(confirmed(new, sets, percent), "links")
-        forget(placed)
-        if more.limit(1).count():
-            links = written(links.union(more), "links")
-            tried = written(tried.union(new), "tried")
-            label = components(links)
-        elif every:
-            break
-        else:
-            every = True
-            continue
-        if every:
+    def sets_for(ids: DataFrame) -> DataFrame:
+        asked = written(ids.select("id").distinct(), "asked")
+        out = written(sets_of(texts.join(by_size(asked.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi"), n), "sets")
+        forget(asked)
+        return out
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        sets = sets_for(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        out = written(confirmed(pairs, sets, percent), "links")
+        forget(sets)
+        return out
+
+    def apart(label: DataFrame) -> DataFrame:
+        """Members of buckets that hold more than one component, in tiles."""
+        placed = written(live.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
+        several = placed.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x < _y").select("key")
+        several = written(several, "several")
+        rest = written(placed.join(by_size(several), "key", "left_semi").join(signs.drop("rows"), "id"), "rest")
+        forget(placed, several)
+        return rest
+
+    links = linked(tried)
+    label = written(components(links), "label")
+    forget(tried, links)
+    for _ in range(LIKELY):
+        rest = apart(label)
+        likely = written(_likely(_dealt(rest), least), "likely")
+        links = linked(likely)
+        forget(rest, likely)
+        if not links.limit(1).count():
             break
-    forget(sets, live, shared, bits, asked)
+        label = _joined(label, links)
+        forget(links)
+    rest = apart(label)
+    open_ = written(_open(_dealt(rest), least), "open")
+    if open_.limit(1).count():
+        last = written(rest.join(by_size(open_), ["key", "id"], "left_semi"), "last")
+        sets = sets_for(open_)
+        links = written(_confirmed_in_tiles(_dealt(last).join(sets, "id"), least, percent), "links")
+        label = _joined(label, links)
+        forget(last, sets, links)
+    forget(live, shared, signs, rest, open_)
     named = classes.join(label, classes["first"] == label["id"], "left").select("set_key", F.coalesce("component", "first").alias("component_id"))
+    named = written(named, "named")
+    forget(classes, label)
     slim = found.select("doc_id", "n_shingles", "set_key")
     one = slim.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).join(named, "set_key").select("doc_id", "n_shingles", "component_id")
     rest = slim.filter(F.col("set_key").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.llm.common import by_size, forget, small_batches, text_or_empty, written
-from siltbed.llm.shingles import mixed, shingled, word_hashes, words
+from siltbed.llm.shingles import hashed_words, mixed, shingled, shingled_rows
 
 #: Words of a shingle and of the shortest passage; hash functions, and how many have to agree on a passage.
 SHINGLE, PASSAGE, HASHES, AGREE = 5, 50, 5, 2
@@ -61,8 +61,9 @@ def windows(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
         types = [("key", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int32()), ("l", pa.int32()), ("c", pa.int32()), ("r", pa.int32())]
         for b in batches:
             keys, ids, rows = [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = shingled(word_hashes(words(text)), SHINGLE)
+            hashes, to = shingled_rows(*hashed_words(b.column(1)), SHINGLE)
+            for i, doc in enumerate(b.column(0).to_pylist()):
+                own = hashes[to[i] : to[i + 1]]
                 if len(own) < width:
                     continue
                 repeats = len(np.unique(own)) < len(own)
@@ -283,9 +284,11 @@ def _shingles(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [words(t) for t in b.column(1).to_pylist()]
-            hashes = [packed(shingled(word_hashes(w), SHINGLE)) if len(w) >= SHINGLE else b"" for w in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in found], pa.int32()), pa.array(hashes, pa.binary())], names=["id", "n_words", "hashes"])
+            of_words, at = hashed_words(b.column(1))
+            found, to = shingled_rows(of_words, at, SHINGLE)
+            n = np.diff(at)
+            hashes = [packed(found[to[i] : to[i + 1]]) if n[i] >= SHINGLE else b"" for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(hashes, pa.binary())], names=["id", "n_words", "hashes"])
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "id long, n_words int, hashes binary")
 
