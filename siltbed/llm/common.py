@@ -60,9 +60,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def by_size(df: DataFrame) -> DataFrame:
-    """A written table of ids for a join: broadcast up to BROADCAST_ROWS rows, else left to a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def by_size(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table for a join: broadcast up to so many rows, else left to a shuffle, which splits what is too large."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def forget(*tables: DataFrame) -> None:

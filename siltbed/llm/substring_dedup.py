@@ -16,71 +16,87 @@ from siltbed.llm.shingles import hashed_words, mixed, shingled, shingled_rows
 #: Words of a shingle and of the shortest passage; hash functions, and how many have to agree on a passage.
 SHINGLE, PASSAGE, HASHES, AGREE = 5, 50, 5, 2
 PERCENT = 80
-#: Rounds; in each, what no earlier round has explained gets a new first document.
-ROUNDS = 2
+#: Shingles of a block beside a window's least one, and where the blocks begin from there: candidates share a block too.
+BLOCK, BLOCKS = 12, (-24, -12, 1, 13)
+#: Members of one side of a comparison tile.
+TILE = 1024
+#: Rows of spans up to which they go to the texts rather than the texts to them.
+SPAN_ROWS = 200_000
 
 #: Bytes of a shingle's hash that verification compares.
 KEPT = 6
 _SEEDS = mixed(np.arange(101, 101 + HASHES, dtype=np.uint64))
+_LOW = np.uint64(0xFFFFFFFF)
+#: A place times ODD is the order in which equal values are taken; times BACK it is the place again.
+_ODD, _BACK = np.uint64(0x9E3779B1), np.uint64(pow(0x9E3779B1, -1, 1 << 32))
 
 
-def compact_windows(values: np.ndarray, width: int, repeats: bool = True) -> list[tuple[int, int, int]]:
+def _trees(order: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """row, l, c, r of the nodes that span `width` places or more, of the Cartesian tree of each row order[at[i]:at[i + 1]].
+
+    The upper half of `order` has the values, the lower half the places in the row times ODD. All trees grow a level at
+    a time, so a batch of texts takes as many steps as its deepest tree.
+    """
+    order = np.append(order, ~np.uint64(0))
+    row = np.flatnonzero(np.diff(at) >= width)
+    low, high = at[row], at[row + 1] - 1
+    out = [(row[:0],) * 4]
+    while len(row):
+        least = np.minimum.reduceat(order, np.stack([low, high + 1], axis=1).ravel())[::2]
+        c = at[row] + ((least & _LOW) * _BACK & _LOW).astype(np.int64)
+        out.append((row, low - at[row], c - at[row], high - at[row]))
+        wide = np.stack([c - low >= width, high - c >= width], axis=1).ravel()
+        row, low, high = np.repeat(row, 2)[wide], np.stack([low, c + 1], axis=1).ravel()[wide], np.stack([c - 1, high], axis=1).ravel()[wide]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def compact_windows(values: np.ndarray, width: int) -> np.ndarray:
     """(l, c, r) for each node of the values' Cartesian tree that spans `width` positions or more.
 
     Every subsequence [i, j] with l <= i <= c <= j <= r has its least value at c, and each subsequence of `width` or more
     lies in exactly one of the windows. Values that repeat are told apart by their place's hash, which keeps the tree
     flat on repeated words.
     """
-    if len(values) < width:
-        return []
-    if repeats:
-        order = np.lexsort((mixed(np.arange(len(values), dtype=np.uint64)), values))
-        values = np.empty(len(order), dtype=np.int64)
-        values[order] = np.arange(len(order))
-    out, todo = [], [(0, len(values) - 1)]
-    while todo:
-        left, right = todo.pop()
-        c = left + int(values[left : right + 1].argmin())
-        out.append((left, c, right))
-        if c - left >= width:
-            todo.append((left, c - 1))
-        if right - c >= width:
-            todo.append((c + 1, right))
-    return out
+    rank = np.unique(values, return_inverse=True)[1].astype(np.uint64)
+    place = np.arange(len(values), dtype=np.uint64) * _ODD & _LOW
+    return np.stack(_trees(rank << np.uint64(32) | place, np.array([0, len(values)]), width)[1:], axis=1)
 
 
-WINDOWS = "key long, doc_id long, h int, l int, c int, r int"
+WINDOWS = "key long, doc_id long, h int, l int, c int, r int, blocks long, first boolean"
 
 
 def windows(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
-    """A row for each compact window of each hash function, of every whole text; key is the hash function and its least value."""
+    """A row for each compact window of each hash function, of every whole text.
+
+    key is the hash function and the window's least value; blocks has 16 bits for each of the BLOCKS of words beside it,
+    0 where the text has none; first marks a key's first row of its document.
+    """
     small_batches(docs.sparkSession)
     width = passage - SHINGLE + 1
+    types = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int32()), ("l", pa.int32()), ("c", pa.int32()), ("r", pa.int32()), ("blocks", pa.int64()), ("first", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [("key", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int32()), ("l", pa.int32()), ("c", pa.int32()), ("r", pa.int32())]
         for b in batches:
-            keys, ids, rows = [], [], []
-            hashes, to = shingled_rows(*hashed_words(b.column(1)), SHINGLE)
-            for i, doc in enumerate(b.column(0).to_pylist()):
-                own = hashes[to[i] : to[i + 1]]
-                if len(own) < width:
-                    continue
-                repeats = len(np.unique(own)) < len(own)
-                for h in range(HASHES):
-                    values = mixed(own ^ _SEEDS[h])
-                    found = compact_windows(values, width, repeats)
-                    keys.append(values[[c for _, c, _ in found]])
-                    ids.append(np.full(len(found), doc, dtype=np.int64))
-                    rows.append(np.array([(h, *w) for w in found], dtype=np.int32))
-            if not keys:
-                continue
-            key = np.concatenate(keys)
-            row = np.concatenate(rows)
-            key = mixed(key + row[:, 0].astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip((key, np.concatenate(ids), *row.T), types, strict=True)], schema=pa.schema(types))
-
-    return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, WINDOWS)
+            of_words, at = hashed_words(b.column(1))
+            own, to = shingled_rows(of_words, at, SHINGLE)
+            blocks, begins = shingled_rows(of_words, at, BLOCK + SHINGLE - 1)
+            n, doc = np.diff(to), b.column(0).to_numpy()
+            place = (np.arange(len(own)) - np.repeat(to[:-1], n)).astype(np.uint64) * _ODD & _LOW
+            for h in range(HASHES):
+                values = mixed(own ^ _SEEDS[h])
+                row, low, c, high = _trees(values & ~_LOW | place, to, width)
+                key = mixed(values[to[row] + c] + np.uint64(h))
+                beside = np.zeros(len(row), dtype=np.uint64)
+                for k, off in enumerate(BLOCKS):
+                    there = (c + off >= 0) & (c + off + BLOCK <= n[row])
+                    value = blocks[np.where(there, begins[row] + c + off, 0)] >> np.uint64(48) if len(blocks) else beside
+                    beside |= np.where(there, np.maximum(value, np.uint64(1)), np.uint64(0)) << np.uint64(16 * k)
+                first = np.zeros(len(row), dtype=bool)
+                first[np.unique(mixed(key) + row.astype(np.uint64), return_index=True)[1]] = True
+                columns = (key.view(np.int64), doc[row], np.full(len(row), h), low, c, high, beside.view(np.int64), first)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, types, strict=True)], schema=types)
+
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, WINDOWS)
 
 
 def matched(a: np.ndarray, b: np.ndarray, anchors: np.ndarray, width: int, percent: int) -> list[tuple[int, int, int, int, float]]:
@@ -102,58 +118,72 @@ def matched(a: np.ndarray, b: np.ndarray, anchors: np.ndarray, width: int, perce
 def stretches(one: np.ndarray, two: np.ndarray, width: int, percent: int) -> list[tuple[int, int, int, int, float]]:
     """(start, end, start in one, end in one, similarity) of two's stretches of `width` or more that stand in one, alike enough as sets.
 
-    A stretch runs from a hit to a hit over any gaps, as long as the whole is alike; those that lie in another are left
-    out. One whose hits span less than `width` is filled up with its neighbours, if it is alike with them.
+    A stretch runs from the first to the last of some runs that the two have in common, over any gaps, as long as the
+    whole is alike; those that lie in another are left out. One that is shorter than `width` on either side is filled up
+    with its neighbours on both, if it is alike with them.
     """
-    hit, before = np.isin(two, one), _before(two)
-    zones = [(x, y) for x, y in _zones(hit, before, 100 - percent, percent, 0) if y - x >= width]
-    if not zones:
+    found = _common(one, two)
+    if not len(found):
         return []
-    # Hits side by side are one piece if they are side by side in `one` too.
-    joint = hit[:-1] & hit[1:] & np.isin(mixed(two[:-1]) + two[1:], mixed(one[:-1]) + one[1:])
-    starts = np.flatnonzero(hit & ~np.concatenate([[False], joint]))
-    ends = np.flatnonzero(hit & ~np.concatenate([joint, [False]])) + 1
-    behind, least = _before(one), width * percent // 100
+    starts, froms, size = found.T
+    ends, tos = starts + size, froms + size
+    hits = np.concatenate([[0], np.cumsum(np.isin(two, one))])
+    upto = np.maximum.accumulate(np.concatenate([[0], ends]))
+    joint = np.cumsum(np.maximum(0, ends - np.maximum(starts, upto[:-1])))  # places of two in runs so far
     out: list[tuple[int, int, int, int, float]] = []
-    for low, high in zones:
-        reach = 0
-        for s in starts[(starts >= low) & (starts < high)].tolist():
-            stops = ends[(ends >= max(s + width, reach + 1)) & (ends <= high)]
-            if not len(stops):
+    alike, short, reach = _alikeness(one, two), [], 0
+    for i, (s, x) in enumerate(zip(starts.tolist(), froms.tolist(), strict=True)):
+        # In one the runs stand in the same order, or anyhow between the first and the last of them.
+        fits = (ends[i:] > reach) & (ends[i:] >= ends[i])
+        low, high = np.minimum.accumulate(froms[i:]), np.maximum.accumulate(tos[i:])
+        n, shared = ends[i:] - s + tos[i:] - x, joint[i:] - joint[i] + size[i]
+        chained = fits & (froms[i:] >= x) & (tos[i:] >= tos[i]) & (100 * shared >= (percent - MARGIN) * (n - shared))
+        n, shared = ends[i:] - s + high - low, hits[ends[i:]] - hits[s]
+        within = fits & ((low < x) | (high > tos[i:])) & (100 * shared >= percent * (n - shared))
+        tries = [(int(ends[i + k]), x, int(tos[i + k])) for k in np.flatnonzero(chained)] + [(int(ends[i + k]), int(low[k]), int(high[k])) for k in np.flatnonzero(within)]
+        for e, x, y in sorted(tries, key=lambda t: -t[0]):
+            if min(e - s, y - x) < width:
+                short.append((s, e, x, y))
                 break
-            new = before[s:high] < s
-            n, shared = np.cumsum(new)[stops - s - 1], np.cumsum(new & hit[s:high])[stops - s - 1]
-            good = 100 * shared >= percent * n
-            stops, n = stops[good], n[good]
-            k = len(stops) - 1
-            while k >= 0:
-                e = int(stops[k])
-                x, y, like, enough = _source(one, behind, two[s:e], least, percent)
-                if enough:
-                    out.append((s, e, x, y, like))
-                    reach = e
-                    break
-                # With m fewer distinct shingles, the similarity of u in all can't rise by more than a factor of (u + m) / u.
-                maybe = np.flatnonzero(100 * like * (n[k] - n[:k]) >= (percent - 100 * like) * n[:k])
-                k = int(maybe[-1]) if len(maybe) else -1
-    for low, high in zones:
-        new = np.lib.stride_tricks.sliding_window_view(before[low:high], width) < np.arange(low, high - width + 1)[:, None]
-        hits = np.lib.stride_tricks.sliding_window_view(hit[low:high], width)
-        left = low + np.flatnonzero(100 * (new & hits).sum(axis=1) >= percent * new.sum(axis=1))
-        left = left[hits[left - low].any(axis=1)]
-        first, last = left + hits[left - low].argmax(axis=1), left + width - 1 - hits[left - low][:, ::-1].argmax(axis=1)
-        for x, y, *_ in out:
-            open_ = (first < x) | (last >= y)
-            left, first, last = left[open_], first[open_], last[open_]
-        for s, own, end in zip(left.tolist(), first.tolist(), last.tolist(), strict=True):
-            if out and out[-1][0] <= own and end < out[-1][1]:
+            like = alike(s, e, x, y)
+            if 100 * like >= percent:
+                out.append((s, e, x, y, like))
+                reach = e
+                break
+    for s, e, x, y in short:
+        if any(o[0] <= s and e <= o[1] for o in out):
+            continue
+        more = width - min(e - s, y - x)
+        for left in range(more + 1):
+            low, high, back, on = s - left, e + more - left, x - left, y + more - left
+            if min(low, back) < 0 or high > len(two) or on > len(one):
                 continue
-            x, y, like, enough = _source(one, behind, two[s : s + width], least, percent)
-            if enough:
-                out.append((s, s + width, x, y, like))
+            like = alike(low, high, back, on)
+            if 100 * like >= percent:
+                out.append((low, high, back, on, like))
+                break
     return out
 
 
+def _alikeness(one: np.ndarray, two: np.ndarray):
+    """A function of (s, e, x, y): the similarity of two[s:e] and one[x:y] as sets."""
+    ids = np.unique(np.concatenate([one, two]), return_inverse=True)[1]
+    one, two = ids[: len(one)], ids[len(one) :]
+    earlier_one, earlier_two = _before(one), _before(two)
+    marked = np.zeros(len(ids), dtype=bool)
+
+    def alike(s: int, e: int, x: int, y: int) -> float:
+        own = one[x:y]
+        marked[own] = True
+        new = earlier_two[s:e] < s
+        shared = int(np.count_nonzero(marked[two[s:e]] & new))
+        marked[own] = False
+        # Both sums are whole numbers, so the quotient is right at the threshold.
+        return shared / (int(np.count_nonzero(new)) + int(np.count_nonzero(earlier_one[x:y] < x)) - shared)
+
+    return alike
+
+
 def _before(values: np.ndarray) -> np.ndarray:
     """For each place, the place before it that holds the same value, or -1."""
     order = np.argsort(values, kind="stable")
@@ -163,60 +193,149 @@ def _before(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _zones(hit: np.ndarray, before: np.ndarray, gain: float, loss: float, need: float) -> list[tuple[int, int]]:
-    """Runs of places in stretches that score `need` or more: a hit gains, and a value's first place that isn't one loses."""
-    total = np.concatenate([[0.0], np.cumsum(np.where(hit, gain, np.where(before < 0, -loss, 0.0)))])
-    return runs(np.maximum.accumulate(total[::-1])[::-1][1:] - np.minimum.accumulate(total)[:-1] >= need)
-
-
-def _source(one: np.ndarray, behind: np.ndarray, part: np.ndarray, least: int, percent: int) -> tuple[int, int, float, bool]:
-    """The stretch of `one` that is most like the part as a set, how alike, and whether enough; half of what is asked for counts as the least."""
-    p = np.unique(part)
-    hit = np.isin(one, p)
-    found = runs(hit)
-    starts, ends = (np.array([r[k] for r in found], dtype=np.int64) for k in (0, 1))
-    low = percent / 200
-    best = (0, 0, low, False)
-    for x, y in _zones(hit, behind, 1, low, low * len(p)):
-        for s in starts[(starts >= x) & (starts < y)].tolist():
-            stops = ends[(ends >= s + least) & (ends <= y)]
-            if not len(stops):
-                break
-            new = behind[s:y] < s
-            shared, n = np.cumsum(new & hit[s:y])[stops - s - 1], np.cumsum(new)[stops - s - 1]
-            union = len(p) + n - shared
-            k = int((shared / union).argmax())
-            if shared[k] / union[k] > best[2]:
-                best = (s, int(stops[k]), float(shared[k] / union[k]), bool(100 * shared[k] >= percent * union[k]))
-    return best
+#: Shingles of a run that is looked up as a whole; hundredths by which runs alone may seem less alike than all shingles.
+RUN, MARGIN = 16, 3
+
 
+def _common(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Rows (start in two, start in one, length) of runs that stand in both, by their start in two.
 
-def runs(hit: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+    A run of RUN or more is found where it first stands in one, and followed to both its ends; what is shorter is found
+    nearest to where the last run would go on.
+    """
+    n = len(two)
+    if not n or not len(one):
+        return np.empty((0, 3), dtype=np.int64)
+    order = np.argsort(one, kind="stable")
+    values = one[order]
+    low, high = np.searchsorted(values, two), np.searchsorted(values, two, side="right")
+    hit = np.flatnonzero(high > low)
+    long_at = np.full(n, -1, dtype=np.int64)
+    if min(n, len(one)) >= RUN:
+        rolled, first = np.unique(shingled(one, RUN), return_index=True)
+        mine = shingled(two, RUN)
+        at = np.minimum(np.searchsorted(rolled, mine), len(rolled) - 1)
+        long_at[: len(mine)] = np.where(rolled[at] == mine, first[at], -1)
+    out: list[tuple[int, int, int]] = []
+    i, shift, k = 0, 0, 0
+    while True:
+        k = int(np.searchsorted(hit, i))
+        if k == len(hit):
+            return np.array(sorted(set(out)), dtype=np.int64).reshape(-1, 3)
+        i = int(hit[k])
+        x, back = int(long_at[i]), 0
+        if x < 0:
+            places = order[low[i] : high[i]]
+            x = int(places[np.abs(places - (i + shift)).argmin()])
+        else:
+            m = min(i, x)
+            differ = np.flatnonzero(two[i - m : i][::-1] != one[x - m : x][::-1])
+            back = int(differ[0]) if len(differ) else m
+        m = min(n - i, len(one) - x)
+        step = RUN
+        while True:
+            differ = np.flatnonzero(two[i : i + min(step, m)] != one[x : x + min(step, m)])
+            if len(differ) or step >= m:
+                break
+            step *= 4
+        on = int(differ[0]) if len(differ) else m
+        out.append((i - back, x - back, on + back))
+        i, shift = i + on, x - i
 
 
 FOUND = "doc_id long, start int, end int, source_id long, source_start int, source_end int, similarity double"
 
 
-def _verified(pairs: DataFrame, shingles: DataFrame, width: int, percent: int) -> DataFrame:
-    """pairs: a, b, anchors (arrays of 5). Each pair meets its two texts' shingles in joins that Spark splits by size."""
-    both = pairs.join(shingles.select(F.col("id").alias("a"), F.col("hashes").alias("_a")), "a").join(shingles.select(F.col("id").alias("b"), F.col("hashes").alias("_b")), "b")
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """pairs: a, b, anchors (an array of structs h, la, ra, lb, rb). Passages of b that stand in a.
+
+    A pair meets the parts of its two texts' shingles that its anchors span, in joins of written tables, which Spark
+    splits by size.
+    """
+    spans = [f(f"anchors.{c}").alias(f"_{c}") for c, f in (("la", F.array_min), ("ra", F.array_max), ("lb", F.array_min), ("rb", F.array_max))]
+    pairs = written(pairs.select("a", "b", "anchors", *spans), "pairs")
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
+    shingles = written(_shingles(texts.join(by_size(asked), "doc_id", "left_semi")), "shingles")
+    both = pairs
+    for c in ("a", "b"):
+        part = F.expr(f"substring(hashes, 1 + {KEPT} * _l{c}, {KEPT} * (_r{c} - _l{c} + 1))").alias(f"_part_{c}")
+        both = both.join(shingles.select(F.col("id").alias(c), "hashes"), c).select(*both.columns, part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
+        names = [x.split()[0] for x in FOUND.split(", ")]
         for batch in batches:
             rows = []
-            for i in range(batch.num_rows):
-                a, b, anchors, one, two = (batch.column(k)[i] for k in range(5))
-                one, two = (unpacked(x.as_py()) for x in (one, two))
-                marks = np.array(anchors.as_py(), dtype=np.int64).reshape(-1, 5)
-                for s, e, x, y, like in matched(one, two, marks, width, percent):
-                    rows.append((b.as_py(), s, e + SHINGLE - 1, a.as_py(), x, y + SHINGLE - 1, like))
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
-            names = [x.split()[0] for x in FOUND.split(", ")]
+            for a, b, anchors, la, lb, one, two in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                marks = np.array([(x["h"], x["la"] - la, x["ra"] - la, x["lb"] - lb, x["rb"] - lb) for x in anchors], dtype=np.int64)
+                for s, e, x, y, like in matched(unpacked(one), unpacked(two), marks, width, percent):
+                    rows.append((b, lb + s, lb + e + SHINGLE - 1, a, la + x, la + y + SHINGLE - 1, like))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
-    return both.select("a", "b", "anchors", "_a", "_b").mapInArrow(run, FOUND)
+    found = written(both.select("a", "b", "anchors", "_la", "_lb", "_part_a", "_part_b").mapInArrow(run, FOUND), "passages")
+    forget(pairs, asked, shingles)
+    return found
+
+
+def _anchored(rows: DataFrame) -> DataFrame:
+    """a, b, anchors, and how many hash functions these are of, from rows (a, ca_low, ca_high, la, ra; b, h, lb, c, rb).
+
+    A passage of b lies in its window, so of a's windows what is further from their least shingles than it can reach is
+    left out.
+    """
+    left, right = (F.ceil((F.col(x) - F.col(y)) * 100 / PERCENT).cast("int") for x, y in (("c", "lb"), ("rb", "c")))
+    la, ra = F.greatest("la", F.col("ca_low") - left), F.least("ra", F.col("ca_high") + right)
+    return rows.groupBy("a", "b").agg(F.collect_set(F.struct("h", la.alias("la"), ra.alias("ra"), "lb", "rb")).alias("anchors"), F.countDistinct("h").alias("n"))
+
+
+def _explained(rows: DataFrame, passages: DataFrame) -> DataFrame:
+    """doc_id, c of rows whose least shingle lies in a passage that is found."""
+    spans = written(passages.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    places = written(rows.select("doc_id", "c").distinct(), "places")
+    return places.join(spans, "doc_id").filter(F.exists("spans", lambda s: (s["start"] <= F.col("c")) & (F.col("c") < s["end"]))).select("doc_id", "c")
+
+
+def _sources(members: DataFrame, width: int, percent: int, most: int) -> DataFrame:
+    """For each open member the first `most` documents, after `after`, that have much of what surrounds its least shingle.
+
+    members: key, doc_id, h, l, c, r, blocks, around, after; those with `after` are open. Open members and all members are
+    dealt to blocks of about TILE, and each two blocks are one task, which gives the rows of `most` documents for an open
+    member and no pairs besides.
+    """
+    sized = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("_all"), F.ceil(F.count("after") / TILE).cast("int").alias("_open"))
+    sized = written(sized.filter("_open > 0"), "sized")
+    dealt = members.join(by_size(sized), "key")
+    dice = F.xxhash64("doc_id", "c")
+    every = dealt.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_open") - 1))).withColumn("j", F.pmod(dice, F.col("_all")).cast("int")).withColumn("after", F.lit(0).cast("long")).withColumn("asks", F.lit(False))
+    asks = dealt.filter("after IS NOT NULL").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_all") - 1))).withColumn("i", F.pmod(dice, F.col("_open")).cast("int")).withColumn("asks", F.lit(True))
+    need = -(-width * percent // 100)  # what the shortest passage shares at least
+    out = "key long, a long, ca_low int, ca_high int, la int, ra int, b long, h int, lb int, c int, rb int"
+    names = [x.split()[0] for x in out.split(", ")]
+    types = [pa.int64() if x.endswith("long") else pa.int32() for x in out.split(", ")]
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("doc_id", "ascending"), ("c", "ascending")])
+        doc, h, low, c, high, after, asking = (t.column(x).to_numpy() for x in ("doc_id", "h", "l", "c", "r", "after", "asks"))
+        blocks = t.column("blocks").to_numpy().view(np.uint16).reshape(-1, len(BLOCKS))
+        around = [np.unique(unpacked(x)) for x in t.column("around").to_pylist()]
+        sources, rows, key = np.flatnonzero(~asking), [], t.column("key")[0].as_py()
+        for b in np.flatnonzero(asking).tolist():
+            where = sources[(doc[sources] < doc[b]) & (doc[sources] > after[b])]
+            where = where[((blocks[where] == blocks[b]) & (blocks[b] != 0)).any(axis=1)]
+            own, found = around[b], []
+            for at in range(0, len(where), 64):
+                part = where[at : at + 64]
+                every, sizes = np.concatenate([around[a] for a in part]), np.array([len(around[a]) for a in part])
+                both = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+                for a in part[np.add.reduceat(both, np.cumsum(sizes) - sizes, dtype=np.int64) >= need].tolist():
+                    if len(found) < most or doc[a] == found[-1]:
+                        rows.append((key, doc[a], c[a], c[a], low[a], high[a], doc[b], h[b], low[b], c[b], high[b]))
+                        found += [doc[a]] * (doc[a] not in found[-1:])
+                if len(found) == most and doc[part[-1]] != found[-1]:
+                    break
+        return pa.table({n: pa.array([r[k] for r in rows], x) for k, (n, x) in enumerate(zip(names, types, strict=True))})
+
+    return every.unionByName(asks).groupBy("key", "i", "j").applyInArrow(compare, out)
 
 
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE, percent: int = PERCENT) -> DataFrame:
@@ -228,47 +347,76 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, percent: int = PE
     document goes on. Texts that are null or shorter than a passage have none; rows without doc_id take no part; rows
     that repeat a doc_id are one document. No documents: no rows.
 
-    Each least value's documents meet the first of them, so a passage that a third of all documents hold gives as many
-    pairs as documents; keys are summed before the shuffle, and a hot key's rows meet their first document in a join
-    that Spark splits. What a round's passages do not cover is tried again with a new first document, ROUNDS times in
-    all: a passage is missed if for all hash functions each of these first documents shares but the least shingle.
+    Windows are candidates of each other when their least values agree and one of the four blocks of words beside them.
+    The documents of such a bucket meet the first of them, so a passage that a third of all documents hold gives as many
+    pairs as documents, and pairs in which AGREE hash functions agree are verified. Where that explains a window of a
+    later document by no passage, the window meets all of its bucket, in tiles of bounded size, by the shingles around
+    it, and goes on with the first documents that share as many of them as the shortest passage does; until none is left. So a passage is missed
+    if for all hash functions its least values or all blocks beside them are changed.
     """
     width = passage - SHINGLE + 1
     text = text_or_empty()
-    marked = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.sha2(text, 256).alias("_hash"), F.octet_length(text).alias("_size"))
-    same = written(marked.filter(F.col("_size") >= 2 * passage - 1).groupBy("_hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).filter("first < _last"), "same")
+    docs = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = docs.select("doc_id", F.sha2(text, 256).alias("_hash"), F.octet_length(text).alias("_size")).filter(F.col("_size") >= 2 * passage - 1)
+    same = written(marked.groupBy("_hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).filter("first < _last"), "same")
     copies = written(marked.join(same, "_hash").filter("doc_id <> first").select("doc_id", F.col("first").alias("source_id")).distinct(), "copies")
-
-    found = windows(docs, passage)
-    shared = written(found.groupBy("key").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).filter("_a < _b").select("key"), "shared")
-    rows = written(windows(docs, passage).join(shared, "key").join(by_size(copies.select("doc_id").distinct()), "doc_id", "left_anti"), "rows")
-    ids = copies.select(F.col("source_id").alias("doc_id")).union(rows.select("doc_id")).union(copies.select("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(by_size(written(ids, "ids")), "doc_id", "left_semi")
-    shingles = written(_shingles(texts, width), "shingles")
-
-    passages = None
-    for _ in range(ROUNDS):
-        first = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("_z")).filter("a < _z").select("key", "a")
-        near = written(rows.join(first, "key"), "near")
-        reach = near.filter("doc_id = a").groupBy("key").agg(F.min("l").alias("_l"), F.max("r").alias("_r"))
-        anchors = near.filter("doc_id <> a").join(reach, "key").select("a", F.col("doc_id").alias("b"), "h", F.array("h", "_l", "_r", "l", "r").alias("anchor"))
-        pairs = anchors.groupBy("a", "b").agg(F.flatten(F.collect_list("anchor")).alias("anchors"), F.countDistinct("h").alias("n")).filter(F.col("n") >= AGREE).drop("n")
-        got = written(_verified(pairs, shingles, width, percent), "passages")
-        passages = got if passages is None else written(passages.union(got), "passages")
-        # A window is explained once its least shingle lies in a passage that is found; first documents have done their part.
-        spans = got.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-        left = near.filter("doc_id <> a").join(spans, "doc_id", "left")
-        open_ = ~F.exists(F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")), lambda s: (s["start"] <= F.col("c")) & (F.col("c") < s["end"]))
-        rows = written(left.filter(open_).select("key", "doc_id", "h", "l", "c", "r"), "rows")
-        forget(near)
-        if not rows.limit(1).count():
-            break
-    whole = copies.join(shingles.select(F.col("id").alias("source_id"), "n_words"), "source_id").filter(F.col("n_words") >= passage)
+    copied = written(copies.select("doc_id").distinct(), "copied")
+    texts = docs.join(by_size(copied), "doc_id", "left_anti")
+
+    found = written(windows(texts, passage), "windows")
+    shared = written(found.groupBy("key").agg(F.sum(F.col("first").cast("int")).alias("_n")).filter("_n > 1").select("key"), "shared")
+    rows = written(found.drop("first").join(by_size(shared), "key"), "rows")
+    forget(found, shared)
+    block = [F.shiftrightunsigned("blocks", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(len(BLOCKS))]
+    each = rows.withColumn("bucket", F.explode(F.array_compact(F.array(*[F.when(b != 0, F.xxhash64("key", F.lit(k), b)) for k, b in enumerate(block)]))))
+    first = each.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("_last")).filter("a < _last").select("bucket", "a")
+    first = written(first, "first")
+    near = written(each.join(by_size(first), "bucket"), "near")
+    forget(rows, first)
+    reach = near.filter("doc_id = a").groupBy("bucket").agg(*[f(x).alias(n) for f, x, n in ((F.min, "l", "la"), (F.min, "c", "ca_low"), (F.max, "c", "ca_high"), (F.max, "r", "ra"))])
+    reach = written(reach, "reach")
+    met = near.filter("doc_id <> a").select("bucket", "a", F.col("doc_id").alias("b"), "h", F.col("l").alias("lb"), "c", F.col("r").alias("rb")).join(by_size(reach), "bucket")
+    passages = _verified(_anchored(met).filter(F.col("n") >= AGREE).drop("n"), texts, width, percent)
+    forget(reach)
+
+    known = written(_explained(near, passages), "known")
+    left = written(near.filter("doc_id <> a").join(by_size(known), ["doc_id", "c"], "left_anti").select("bucket").distinct(), "left")
+    if left.limit(1).count():
+        members = written(near.join(by_size(left), "bucket", "left_semi").drop("bucket", "a").distinct(), "members")
+        passages = written(passages.union(_among(members, known, texts, width, percent)), "passages")
+        forget(members)
+    forget(near, known, left)
+    sources = written(copies.select(F.col("source_id").alias("doc_id")).distinct(), "sources")
+    sizes = written(_shingles(texts.join(by_size(sources), "doc_id", "left_semi")).select(F.col("id").alias("source_id"), "n_words").distinct(), "sizes")
+    whole = copies.join(by_size(sizes), "source_id").filter(F.col("n_words") >= passage)
     zero, one = F.lit(0), F.lit(1.0)
     whole = whole.select("doc_id", zero.alias("start"), F.col("n_words").alias("end"), "source_id", zero.alias("source_start"), F.col("n_words").alias("source_end"), one.alias("similarity"))
     return passages.dropDuplicates(["doc_id", "start", "end", "source_id"]).union(whole)
 
 
+def _among(members: DataFrame, known: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Passages of members (key, doc_id, h, l, c, r, blocks) that no passage explains so far, by what surrounds their least shingles."""
+    place = ["key", "doc_id", "c"]
+    ids = written(members.select("doc_id").distinct(), "ids")
+    shingles = written(_shingles(texts.join(by_size(ids), "doc_id", "left_semi")).select(F.col("id").alias("doc_id"), "hashes"), "shingles")
+    low = F.greatest(F.lit(0), F.col("c") - (width - 1))
+    around = F.substring(F.col("hashes"), 1 + KEPT * low, KEPT * (F.col("c") + width - low)).alias("around")
+    around = written(members.join(shingles, "doc_id").select(*members.columns, around), "around")
+    forget(ids, shingles)
+    asking = written(members.select(*place).distinct().join(by_size(known), ["doc_id", "c"], "left_anti").select(*place, F.lit(-1 << 63).cast("long").alias("after")), "asking")
+    most, passages = 1, None
+    while True:
+        hits = written(_sources(around.join(asking, place, "left"), width, percent, most), "hits")
+        if passages is not None and not hits.limit(1).count():
+            return passages
+        got = _verified(_anchored(hits).drop("n"), texts, width, percent)
+        passages = got if passages is None else written(passages.union(got), "passages")
+        last = hits.groupBy("key", F.col("b").alias("doc_id"), "c").agg(F.max("a").alias("after"))
+        asking = written(last.join(by_size(written(_explained(last, got), "known")), ["doc_id", "c"], "left_anti"), "asking")
+        forget(hits)
+        most *= 4
+
+
 def packed(hashes: np.ndarray) -> bytes:
     return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
 
@@ -279,7 +427,7 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _shingles(docs: DataFrame, width: int) -> DataFrame:
+def _shingles(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +467,7 @@ def remove_repeated(docs: DataFrame, passage: int = PASSAGE, percent: int = PERC
     changed; one that is all repeated passage stays with what is left, which may be an empty text.
     """
     small_batches(docs.sparkSession)
-    spans = repeated_passages(docs, passage, percent).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = written(repeated_passages(docs, passage, percent).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
     types = "doc_id long, text string, lang string, source string, n_chars long"
     cols = [F.col(c).cast(t).alias(c) for c, t in (x.split() for x in types.split(", "))]
 
@@ -333,4 +481,4 @@ def remove_repeated(docs: DataFrame, passage: int = PASSAGE, percent: int = PERC
             arrays = [b.column(0), pa.array(texts, pa.string()), b.column(2), b.column(3), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", "lang", "source", "n_chars"])
 
-    return docs.select(*cols).join(spans, "doc_id", "left").select(*[x.split()[0] for x in types.split(", ")], "spans").mapInArrow(run, types)
+    return docs.select(*cols).join(by_size(spans, SPAN_ROWS), "doc_id", "left").select(*[x.split()[0] for x in types.split(", ")], "spans").mapInArrow(run, types)

@@ -123,3 +123,62 @@ def test_source_that_repeats_its_passage(spark):
         want[n + 100] = set(range(70, 130))
     got = covered(substring_dedup.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect())
     assert all(want[d] <= got[d] for d in want)
+
+
+def test_passages_whose_words_other_documents_hold_in_pieces(spark):
+    rng = random.Random(11)
+    text = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    texts, want = [], {}
+    for n in range(20):
+        passage = text(60)
+        pieces = [passage[k : k + 5] for k in range(56)]
+        for decoy in range(2):
+            rng.shuffle(pieces)
+            texts.append((1000 * decoy + n, " ".join(w for p in pieces for w in [*p, *text(2)])))
+        texts += [(2000 + n, " ".join(text(50) + passage + text(50))), (3000 + n, " ".join(text(50) + passage + text(50)))]
+        want[3000 + n] = set(range(50, 110))
+    got = covered(substring_dedup.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert all(want[d] <= got[d] for d in want) and set(got) == set(want)
+
+
+def test_near_passages_are_found(spark):
+    """Of passages alike to 0.8 to 0.95, over nine tenths."""
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    texts, near = [], []
+    for n in range(300):
+        passage = text(rng.choice((60, 90, 140, 200)))
+        other = list(passage)
+        for at in rng.sample(range(len(passage)), max(1, len(passage) // 50)):
+            other[at] = f"x{n}"
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (passage, other))
+        texts += [(n, " ".join(text(40) + passage + text(40))), (n + 1000, " ".join(text(70) + other + text(20)))]
+        if len(a & b) >= 0.8 * len(a | b):
+            near.append((n + 1000, len(passage)))
+    got = covered(substring_dedup.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert len(near) > 200 and sum(len(got[d] & set(range(70, 70 + n))) >= 0.8 * n for d, n in near) >= 0.95 * len(near)
+
+
+def test_passages_under_a_line_that_many_documents_hold(spark, monkeypatch):
+    """The line alone is no passage; what a few documents have of it and beyond is found, whichever come first."""
+    monkeypatch.setattr(substring_dedup, "TILE", 16)
+    rng = random.Random(13)
+    text = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    line, texts, want = text(40), [], {}
+    for n in range(120):
+        texts.append((n, " ".join(text(60) + line + text(60))))
+    for n in range(10):
+        more = text(20)
+        texts += [(200 + n, " ".join(text(60) + line + more + text(60))), (300 + n, " ".join(text(60) + line + more + text(60)))]
+        want[300 + n] = set(range(60, 120))
+    got = covered(substring_dedup.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert all(want[d] <= got[d] for d in want) and set(got) == set(want)
+
+
+def test_sentences_in_another_order():
+    rng = np.random.default_rng(8)
+    for swap in (20, 30, 40):
+        passage = rng.integers(0, 1 << 63, 90, dtype=np.uint64)
+        one, two = (substring_dedup.shingled(np.concatenate([rng.integers(0, 1 << 63, 30, dtype=np.uint64), x, rng.integers(0, 1 << 63, 30, dtype=np.uint64)]), 5) for x in (passage, np.concatenate([passage[swap:], passage[:swap]])))
+        got = substring_dedup.matched(one, two, np.array([(0, 0, len(one) - 1, 0, len(two) - 1)]), 46, 80)
+        assert {w for s, e, *_ in got for w in range(s, e)} >= set(range(31, 113))
