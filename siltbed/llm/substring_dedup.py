@@ -18,8 +18,8 @@ SHINGLE, PASSAGE, HASHES, AGREE = 5, 50, 5, 2
 PERCENT = 80
 #: Shingles of a block beside a window's least one, and where the blocks begin from there: candidates share a block too.
 BLOCK, BLOCKS = 12, (-24, -12, 1, 13)
-#: Members of one side of a comparison tile.
-TILE = 1024
+#: Members of one side of a comparison tile, and shortest passages to either side of a least shingle that are verified then.
+TILE, SPAN = 1024, 4
 #: Rows of spans up to which they go to the texts rather than the texts to them.
 SPAN_ROWS = 200_000
 
@@ -129,17 +129,18 @@ def stretches(one: np.ndarray, two: np.ndarray, width: int, percent: int) -> lis
     ends, tos = starts + size, froms + size
     hits = np.concatenate([[0], np.cumsum(np.isin(two, one))])
     upto = np.maximum.accumulate(np.concatenate([[0], ends]))
+    lows, highs = np.where(size >= HULL, froms, len(one)), np.where(size >= HULL, tos, 0)
     joint = np.cumsum(np.maximum(0, ends - np.maximum(starts, upto[:-1])))  # places of two in runs so far
     out: list[tuple[int, int, int, int, float]] = []
     alike, short, reach = _alikeness(one, two), [], 0
     for i, (s, x) in enumerate(zip(starts.tolist(), froms.tolist(), strict=True)):
         # In one the runs stand in the same order, or anyhow between the first and the last of them.
         fits = (ends[i:] > reach) & (ends[i:] >= ends[i])
-        low, high = np.minimum.accumulate(froms[i:]), np.maximum.accumulate(tos[i:])
+        low, high = np.minimum.accumulate(np.minimum(x, lows[i:])), np.maximum.accumulate(np.maximum(tos[i], highs[i:]))
         n, shared = ends[i:] - s + tos[i:] - x, joint[i:] - joint[i] + size[i]
         chained = fits & (froms[i:] >= x) & (tos[i:] >= tos[i]) & (100 * shared >= (percent - MARGIN) * (n - shared))
         n, shared = ends[i:] - s + high - low, hits[ends[i:]] - hits[s]
-        within = fits & ((low < x) | (high > tos[i:])) & (100 * shared >= percent * (n - shared))
+        within = fits & (size[i:] >= HULL) & ((low < x) | (high > tos[i:])) & (100 * shared >= percent * (n - shared))
         tries = [(int(ends[i + k]), x, int(tos[i + k])) for k in np.flatnonzero(chained)] + [(int(ends[i + k]), int(low[k]), int(high[k])) for k in np.flatnonzero(within)]
         for e, x, y in sorted(tries, key=lambda t: -t[0]):
             if min(e - s, y - x) < width:
@@ -193,8 +194,8 @@ def _before(values: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Shingles of a run that is looked up as a whole; hundredths by which runs alone may seem less alike than all shingles.
-RUN, MARGIN = 16, 3
+#: Shingles of a run that is looked up as a whole, and of one that counts where runs stand in another order; hundredths by which runs alone may seem less alike than all shingles.
+RUN, HULL, MARGIN = 16, 8, 3
 
 
 def _common(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -308,7 +309,9 @@ def _sources(members: DataFrame, width: int, percent: int, most: int) -> DataFra
     dice = F.xxhash64("doc_id", "c")
     every = dealt.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_open") - 1))).withColumn("j", F.pmod(dice, F.col("_all")).cast("int")).withColumn("after", F.lit(0).cast("long")).withColumn("asks", F.lit(False))
     asks = dealt.filter("after IS NOT NULL").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_all") - 1))).withColumn("i", F.pmod(dice, F.col("_open")).cast("int")).withColumn("asks", F.lit(True))
-    need = -(-width * percent // 100)  # what the shortest passage shares at least
+    # Two stretches of `width` or more share at least so many; what they share is `percent` of either at least.
+    span = SPAN * width
+    need = -(-2 * width * percent // (100 + percent))
     out = "key long, a long, ca_low int, ca_high int, la int, ra int, b long, h int, lb int, c int, rb int"
     names = [x.split()[0] for x in out.split(", ")]
     types = [pa.int64() if x.endswith("long") else pa.int32() for x in out.split(", ")]
@@ -317,7 +320,26 @@ def _sources(members: DataFrame, width: int, percent: int, most: int) -> DataFra
         t = t.sort_by([("doc_id", "ascending"), ("c", "ascending")])
         doc, h, low, c, high, after, asking = (t.column(x).to_numpy() for x in ("doc_id", "h", "l", "c", "r", "after", "asks"))
         blocks = t.column("blocks").to_numpy().view(np.uint16).reshape(-1, len(BLOCKS))
-        around = [np.unique(unpacked(x)) for x in t.column("around").to_pylist()]
+        near = [unpacked(x) for x in t.column("around").to_pylist()]
+        around = [np.unique(x) for x in near]
+
+        def counted(one: int, other: int) -> tuple[np.ndarray, np.ndarray]:
+            """Sizes of the stretches of `width` or more about a least shingle, and how many of each are around the other one."""
+            total = np.concatenate([[0], np.cumsum(np.isin(near[one], around[other]))])
+            at = min(int(c[one]), width - 1)
+            i, j = np.arange(at + 1)[:, None], np.arange(at + 1, len(total))[None]
+            wide = j - i >= width
+            return (j - i)[wide], (total[j] - total[i])[wide]
+
+        def alike(b: int, a: int) -> bool:
+            """Whether b has a stretch that is like the shortest one of a which shares as much."""
+            size, shared = counted(b, a)
+            least = np.full(2 * width, 4 * width)
+            np.minimum.at(least, *counted(a, b)[::-1])
+            least = np.minimum.accumulate(least[::-1])[::-1]
+            return bool((((100 + percent) * shared >= percent * (size + least[shared])) & (shared >= need)).any())
+
+        repeats = [len(x) < len(y) for x, y in zip(around, near, strict=True)]
         sources, rows, key = np.flatnonzero(~asking), [], t.column("key")[0].as_py()
         for b in np.flatnonzero(asking).tolist():
             where = sources[(doc[sources] < doc[b]) & (doc[sources] > after[b])]
@@ -328,8 +350,8 @@ def _sources(members: DataFrame, width: int, percent: int, most: int) -> DataFra
                 every, sizes = np.concatenate([around[a] for a in part]), np.array([len(around[a]) for a in part])
                 both = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
                 for a in part[np.add.reduceat(both, np.cumsum(sizes) - sizes, dtype=np.int64) >= need].tolist():
-                    if len(found) < most or doc[a] == found[-1]:
-                        rows.append((key, doc[a], c[a], c[a], low[a], high[a], doc[b], h[b], low[b], c[b], high[b]))
+                    if (len(found) < most or doc[a] == found[-1]) and (repeats[b] or alike(b, a)):
+                        rows.append((key, doc[a], c[a], c[a], low[a], high[a], doc[b], h[b], max(low[b], c[b] - span), c[b], min(high[b], c[b] + span)))
                         found += [doc[a]] * (doc[a] not in found[-1:])
                 if len(found) == most and doc[part[-1]] != found[-1]:
                     break
@@ -406,7 +428,10 @@ def _among(members: DataFrame, known: DataFrame, texts: DataFrame, width: int, p
     asking = written(members.select(*place).distinct().join(by_size(known), ["doc_id", "c"], "left_anti").select(*place, F.lit(-1 << 63).cast("long").alias("after")), "asking")
     most, passages = 1, None
     while True:
-        hits = written(_sources(around.join(asking, place, "left"), width, percent, most), "hits")
+        keys = written(asking.select("key").distinct(), "keys")
+        state = around.join(by_size(keys), "key", "left_semi").join(by_size(asking), place, "left")
+        hits = written(_sources(state, width, percent, most), "hits")
+        forget(keys)
         if passages is not None and not hits.limit(1).count():
             return passages
         got = _verified(_anchored(hits).drop("n"), texts, width, percent)
