@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.functions.merge import REPLACE, Merge
+from siltbed.operators.stats import with_previous
 
 OWN = ("seq", "is_delete", "level")
 
@@ -76,5 +77,8 @@ def unexpired(rows: DataFrame, now: int, expiry: int) -> DataFrame:
 
 
 def out_of_order(rows: DataFrame, key: str, within: str) -> DataFrame:
-    """Rows of an ordered run whose key isn't larger than the one before; `within` is a column that splits the run."""
-    return rows.withColumn("_before", F.lag(key).over(Window.partitionBy(within).orderBy("seq"))).filter(F.col("_before") >= F.col(key)).drop("_before")
+    """Rows of an ordered run whose key isn't larger than the one before; `within` is a column that splits the run.
+
+    The run is cut into ranges of seq, each its own task, and a range's first row is held against the last one before.
+    """
+    return with_previous(rows, within, "seq", "_before", key).filter(F.col("_before") >= F.col(key)).drop("_before")

@@ -27,14 +27,18 @@ def ordered(rows: DataFrame, key: str = "k", limit: int = 0, descending: bool =
 def within_bytes(rows: DataFrame, size: Column, key: str = "k", max_records: int = 0, max_bytes: int = 0, descending: bool = False) -> DataFrame:
     """Rows in key order until so many, or until their sizes reach max_bytes; the row that reaches it is the last.
 
-    Every row has a byte at least, so max_bytes rows hold the answer and the running sum is over those only.
+    Of rows that have a byte at least, max_bytes rows hold the one that reaches it, so the running sum is over those
+    only; rows without bytes count for nothing, however many there are. That row's key then bounds the scan.
     """
-    most = min([n for n in (max_records, max_bytes) if n], default=0)
-    rows = ordered(rows, key, most, descending)
-    if not max_bytes:
-        return rows
-    before = Window.orderBy(F.desc(key) if descending else F.asc(key)).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_before", F.coalesce(F.sum(size).over(before), F.lit(0))).filter(F.col("_before") < max_bytes).drop("_before")
+    if max_bytes:
+        most = min([n for n in (max_records, max_bytes) if n])
+        some = ordered(rows.select(key, size.alias("_size")).filter("_size > 0"), key, most, descending)
+        so_far = Window.orderBy(F.desc(key) if descending else F.asc(key)).rowsBetween(Window.unboundedPreceding, 0)
+        reached = some.withColumn("_sum", F.sum("_size").over(so_far)).filter(F.col("_sum") >= max_bytes)
+        cut = reached.agg((F.max if descending else F.min)(key)).first()[0]
+        if cut is not None:
+            rows = rows.filter(F.col(key) >= cut if descending else F.col(key) <= cut)
+    return ordered(rows, key, max_records, descending)
 
 
 def get(ops: DataFrame, value, key: str = "k", merge: Merge = REPLACE) -> DataFrame:

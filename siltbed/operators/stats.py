@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that a row costs in memory besides its own, and the part that allocation adds.
 PER_ROW, OVERHEAD = 220, 1.04
+#: Ranges that an order is cut into where each row looks at the one before.
+BUCKETS = 1024
 
 
 def ranked(rows: DataFrame, key: str = "k", to: str = "i") -> DataFrame:
@@ -56,16 +58,38 @@ def running_mean(runs: DataFrame, by: str, order: str, value: str) -> DataFrame:
     return runs.withColumn("mean", F.avg(value).over(so_far))
 
 
-def decayed(samples: DataFrame, by: str, seconds: str, value: str, half: float = 60.0) -> DataFrame:
-    """Exponentially decayed mean of a throughput: (1 - d) * x + d * before, with d = exp(-dt / half)."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(seconds).alias("t"), F.col(value).alias("x"))))
-    zero = F.struct(F.lit(None).cast("double").alias("t"), F.lit(0.0).alias("m"))
+def decayed(samples: DataFrame, by: str, seconds: str, value: str, life: float = 60.0) -> DataFrame:
+    """Exponentially decayed mean of a throughput, (1 - d) * x + d * before with d = exp(-dt / life), after the last sample.
+
+    Written out, a sample counts for what its own step adds, decayed since: so a group needs the gap to the sample
+    before, and a sum that combines before the shuffle. Samples of one moment after the first count for nothing, and of
+    the first moment's samples the smallest value is the first. The gaps are taken in ranges of time, whose tasks know
+    the last moment of the range before, so no group is ordered in one task.
+    """
+    moments = samples.groupBy(by, seconds).agg(F.min(value).alias("_x"))
+    gaps = with_previous(moments, by, seconds).withColumn("_gap", F.col(seconds) - F.col("_previous"))
+    ends = samples.groupBy(by).agg(F.max(seconds).alias("_end"))
+    share = F.when(F.col("_gap").isNull(), 1.0).otherwise(1 - F.exp(-F.col("_gap") / life))
+    each = gaps.join(F.broadcast(ends), by).withColumn("_w", share * F.col("_x") * F.exp((F.col(seconds) - F.col("_end")) / life))
+    return each.groupBy(by).agg(F.round(F.sum("_w"), 6).alias("rate"))
 
-    def step(s, r):
-        d = F.exp(-(r["t"] - s["t"]) / half)
-        return F.struct(r["t"].cast("double").alias("t"), F.when(s["t"].isNull(), r["x"]).otherwise((1 - d) * r["x"] + d * s["m"]).alias("m"))
 
-    return samples.groupBy(by).agg(ordered.alias("_s")).select(by, F.aggregate("_s", zero, step)["m"].alias("rate"))
+def with_previous(rows: DataFrame, by: str, order: str, to: str = "_previous", carried: str | None = None) -> DataFrame:
+    """Adds what the row before has in `carried` (or `order`), among the rows of the same `by`, without ordering all of them in one task.
+
+    Rows are dealt to BUCKETS buckets of equal width in `order`; each bucket is a window of its own, and its first row
+    takes the last one of the buckets before, of which there is a row for each bucket and `by`.
+    """
+    carried = carried or order
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    step = max((high - low) / BUCKETS, 1e-9) if low is not None else 1.0
+    dealt = rows.withColumn("_bucket", F.floor((F.col(order) - F.lit(low)) / F.lit(step)).cast("int"))
+    last = dealt.groupBy(by, "_bucket").agg(F.max_by(carried, order).alias("_last"))
+    before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("_carry", F.last("_last").over(before)).drop("_last")
+    own = F.lag(F.struct(F.col(carried).alias("x"))).over(Window.partitionBy(by, "_bucket").orderBy(order))
+    joined = dealt.withColumn("_own", own).join(last, [by, "_bucket"])
+    return joined.withColumn(to, F.when(F.col("_own").isNull(), F.col("_carry")).otherwise(F.col("_own.x"))).drop("_bucket", "_own", "_carry")
 
 
 def size_ratio(large_bytes: int, mean_run_bytes: float) -> float:

@@ -244,9 +244,38 @@ def kv_store_scan(spark, sf_dir):
     return Store.open(spark, store.path).scan("00000050", "00000090", end_included=True).select("k", "v")
 
 
+@query(f"WITH {OPS} SELECT k, v, seq FROM res WHERE NOT del AND seq >= (SELECT max(seq) FROM ops) - 2000")
+def kv_store_ttl(spark, sf_dir):
+    """A store whose rows expire, compacted in part: expired rows neither show nor uncover what is older."""
+    store = Store.create(spark, fresh_folder(spark, "ttl"), expiry=2000)
+    new, middle, old = oplog.levels(spark, sf_dir)
+    store.insert(old)
+    store.compact(0)
+    store.compact(1)
+    store.insert(middle)
+    store.insert(new)
+    store.compact(0)
+    return Store.open(spark, store.path).live().select("k", "v", "seq")
+
+
+@query(LIVE)
+def kv_store_late_ops(spark, sf_dir):
+    """Batches that come in the wrong order, one of them twice."""
+    store = Store.create(spark, fresh_folder(spark, "late"))
+    new, middle, old = oplog.levels(spark, sf_dir)
+    for part in (new, old, middle, old):
+        store.insert(part)
+    store.compact(0)
+    return Store.open(spark, store.path).live().select("k", "v", "seq")
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where the cluster shares checkpoints; on one machine, where none is named, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """A new folder where the cluster shares checkpoints; on a single machine, where none is named, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        shared = _own_folder()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -292,10 +321,12 @@ def kv_running_mean(spark, sf_dir):
     return stats.running_mean(oplog.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", cents), "o_custkey", "o_orderkey", "cents")
 
 
-@query()
+@query("""WITH m AS (SELECT event_type, epoch_us(ts) AS us, min(value) AS x FROM events GROUP BY 1, 2),
+g AS (SELECT *, lag(us) OVER (PARTITION BY event_type ORDER BY us) AS b, max(us) OVER (PARTITION BY event_type) AS e FROM m)
+SELECT event_type, round(sum((CASE WHEN b IS NULL THEN 1.0 ELSE 1 - exp(-(us - b) / 6e7) END) * x * exp((us - e) / 6e7)), 6) AS rate FROM g GROUP BY event_type""")
 def kv_decayed_rate(spark, sf_dir):
-    samples = oplog.table(spark, sf_dir, "events").select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value")
-    return stats.decayed(samples.withColumn("s", F.col("us") / 1e6), "event_type", "s", "value")
+    samples = oplog.table(spark, sf_dir, "events").select("event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"), "value")
+    return stats.decayed(samples, "event_type", "s", "value")
 
 
 @query(f"WITH {OPS} SELECT level, k, seq FROM (SELECT *, lag(k) OVER (PARTITION BY level ORDER BY seq) AS b FROM lev) WHERE b >= k")
@@ -329,6 +360,28 @@ def map_drop(spark, sf_dir):
     return maps.drop_map(oplog.records(spark, sf_dir), "src3").groupBy("map").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT name, CAST((SELECT max(CAST(substr(source, 4) AS BIGINT)) + 3 FROM documents) + row_number() OVER (ORDER BY name) AS BIGINT) AS id
+FROM (SELECT DISTINCT 'src' || CAST(n_nationkey AS VARCHAR) AS name FROM nation) WHERE name NOT IN (SELECT source FROM documents)""")
+def map_add_ids(spark, sf_dir):
+    names = oplog.table(spark, sf_dir, "nation").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("name"))
+    return maps.new_maps(oplog.catalogue(spark, sf_dir), names)
+
+
+@query(f"""WITH {RECORDS}, asked AS (SELECT DISTINCT 'src' || CAST(n_nationkey AS VARCHAR) AS name FROM nation WHERE n_nationkey % 4 = 1)
+SELECT map, k, v FROM records WHERE map NOT IN (SELECT name FROM asked)""")
+def map_drop_records(spark, sf_dir):
+    """The records that are left when some maps, of which some don't exist, have been dropped."""
+    names = oplog.table(spark, sf_dir, "nation").filter("n_nationkey % 4 = 1").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("name"))
+    records = oplog.records(spark, sf_dir)
+    return maps.after_writes(records, maps.dropped_records(records, maps.drop_maps(oplog.catalogue(spark, sf_dir), names)))
+
+
+@query("SELECT DISTINCT 'src' || CAST(n_nationkey AS VARCHAR) AS name, CASE WHEN 'src' || CAST(n_nationkey AS VARCHAR) IN (SELECT source FROM documents) THEN 'Success' ELSE 'MapNotFound' END AS response_code FROM nation")
+def map_drop_codes(spark, sf_dir):
+    names = oplog.table(spark, sf_dir, "nation").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("name"))
+    return maps.drop_maps(oplog.catalogue(spark, sf_dir), names)
+
+
 @query(f"WITH {REQUESTS} SELECT map, k, stored AS v, CASE WHEN NOT there THEN 'MapNotFound' WHEN NOT hit THEN 'RecordNotFound' ELSE 'Success' END AS response_code FROM looked")
 def map_get(spark, sf_dir):
     return maps.get(*_maps(spark, sf_dir))

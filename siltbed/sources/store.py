@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.functions.merge import MERGES
-from siltbed.operators.resolve import deduplicated, live, partial, resolve, unexpired
-from siltbed.operators.scan import bounded, find, get, ordered
+from siltbed.operators.resolve import deduplicated, partial, resolve, unexpired
+from siltbed.operators.scan import bounded, find, ordered
 from siltbed.operators.stats import should_promote, size_ratio
 
 #: Levels: the newest runs, the level that takes them, and the one at the bottom.
 LEVELS = 3
+#: Files of seqs seen that are kept apart.
+PARTS = 32
 
 
 @dataclass
@@ -29,6 +31,8 @@ class Manifest:
     last_seq: int = -1
     version: int = 0
     runs: list[dict] = field(default_factory=list)
+    #: Seqs that were inserted: min, max and rows of each part, and its file where it has gaps.
+    seen: list[dict] = field(default_factory=list)
 
 
 class Store:
@@ -98,13 +102,18 @@ class Store:
     def _runs(self, level: int) -> list[dict]:
         return [r for r in self.manifest.runs if r["level"] == level]
 
-    def read_level(self, level: int) -> DataFrame | None:
-        """All operations of one level, unresolved across its runs."""
-        runs = self._runs(level)
+    def read_level(self, level: int, start=None, end=None) -> DataFrame | None:
+        """All operations of one level, unresolved across its runs; of a key range, of the runs that reach into it."""
+        text = lambda k: k if isinstance(k, str) else bytes(k).hex()
+        low, high = (None if k in (None, "", b"") else text(k) for k in (start, end))
+        runs = [r for r in self._runs(level) if r["min"] is None or ((low is None or r["max"] >= low) and (high is None or r["min"] <= high))]
         return reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.path}/{r['path']}") for r in runs]) if runs else None
 
-    def ops(self) -> DataFrame | None:
-        parts = [df for level in range(LEVELS) if (df := self.read_level(level)) is not None]
+    def ops(self, start=None, end=None) -> DataFrame | None:
+        """Operations of all levels; with bounds, of the runs whose keys reach between them, or none of any where no run does."""
+        parts = [df for level in range(LEVELS) if (df := self.read_level(level, start, end)) is not None]
+        if not parts and self.manifest.runs:
+            return self.spark.read.parquet(f"{self.path}/{self.manifest.runs[0]['path']}").limit(0)
         return reduce(DataFrame.unionByName, parts) if parts else None
 
     # -- writes
@@ -114,27 +123,64 @@ class Store:
         return MERGES[self.manifest.merge]
 
     def insert(self, batch: DataFrame, truncate_log: bool = False) -> None:
-        """Adds a batch of operations as a run; operations that an earlier batch had (by seq) are left out."""
-        fresh = deduplicated(batch).filter(F.col("seq") > self.manifest.last_seq)
-        run = self._write_run(partial(fresh, "k", self.merge), 0)
-        if run:
-            self.manifest.runs.insert(0, run)
-            self.manifest.last_seq = max(self.manifest.last_seq, run["last_seq"])
-            if truncate_log:
-                self.manifest.truncated = self.manifest.last_seq
-            self._commit()
+        """Adds a batch of operations as a run. Operations that came before, by seq, are left out; late ones are not."""
+        fresh = deduplicated(batch)
+        low, high = fresh.agg(F.min("seq"), F.max("seq")).first()
+        if low is None:
+            return
+        for part in self.manifest.seen:
+            if part["min"] <= high and part["max"] >= low:
+                if "path" in part:
+                    fresh = fresh.join(self.spark.read.parquet(f"{self.path}/{part['path']}"), "seq", "left_anti")
+                else:
+                    fresh = fresh.filter(~F.col("seq").between(part["min"], part["max"]))
+        name = f"seqs/{uuid.uuid4().hex}"
+        fresh.select("seq").write.parquet(f"{self.path}/{name}")
+        mine = self.spark.read.parquet(f"{self.path}/{name}")
+        low, high, n = mine.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
+        if not n:
+            return
+        run = self._write_run(partial(fresh.select(*batch.columns), "k", self.merge), 0)
+        self.manifest.runs.insert(0, run)
+        self.manifest.last_seq = max(self.manifest.last_seq, run["last_seq"])
+        self._remember({"min": low, "max": high, "rows": n} | ({} if high - low + 1 == n else {"path": name}))
+        if truncate_log:
+            self.manifest.truncated = self.manifest.last_seq
+        self._commit()
+
+    def _remember(self, part: dict) -> None:
+        """Adds to the seqs seen; parts without gaps that touch become one, and many parts with gaps one file."""
+        seen = sorted([*self.manifest.seen, part], key=lambda x: x["min"])
+        out: list[dict] = []
+        for x in seen:
+            if out and "path" not in x and "path" not in out[-1] and x["min"] <= out[-1]["max"] + 1:
+                out[-1] = {"min": out[-1]["min"], "max": max(out[-1]["max"], x["max"]), "rows": out[-1]["rows"] + x["rows"]}
+            else:
+                out.append(dict(x))
+        if len(gaps := [x for x in out if "path" in x]) > PARTS:
+            name = f"seqs/{uuid.uuid4().hex}"
+            reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.path}/{x['path']}") for x in gaps]).write.parquet(f"{self.path}/{name}")
+            whole = {"min": min(x["min"] for x in gaps), "max": max(x["max"] for x in gaps), "rows": sum(x["rows"] for x in gaps), "path": name}
+            out = [x for x in out if "path" not in x] + [whole]
+        self.manifest.seen = out
 
     replay = insert
 
     def compact(self, level: int) -> None:
-        """Merges a level into the next one. At the bottom tombstones and expired rows go; further up a tombstone goes if no level below has its key."""
+        """Merges a level into the next one. At the bottom tombstones and expired rows go; further up a tombstone goes if no level below has its key.
+
+        Above the bottom an expired row becomes a tombstone, as what is older may lie below.
+        """
         new, old = self.read_level(level), self.read_level(level + 1)
         if new is None:
             return
         bottom = level + 1 == LEVELS - 1
         both = old.unionByName(new) if old is not None else new
         rows = resolve(both, "k", self.merge) if bottom else partial(both, "k", self.merge)
-        rows = unexpired(rows, self.manifest.last_seq, self.manifest.expiry)
+        if self.manifest.expiry:
+            gone = F.col("seq") < self.manifest.last_seq - self.manifest.expiry
+            own = [F.when(~gone, F.col(c)).alias(c) if c not in ("k", "seq", "is_delete") else F.col(c) for c in rows.columns if c != "is_delete"]
+            rows = rows.select(*own, (F.col("is_delete") | gone).alias("is_delete")).select(*rows.columns).dropDuplicates(["k", "seq", "is_delete"])
         dead = rows.filter("is_delete")
         rows = rows.filter(~F.col("is_delete"))
         if not bottom and (below := [df.select("k") for n in range(level + 2, LEVELS) if (df := self.read_level(n)) is not None]):
@@ -172,24 +218,29 @@ class Store:
 
     # -- reads
 
+    def _live(self, ops: DataFrame) -> DataFrame:
+        """What is neither deleted nor expired; expiry goes last, so a compaction never changes a read."""
+        rows = unexpired(resolve(ops, "k", self.merge), self.manifest.last_seq, self.manifest.expiry)
+        return rows.filter(~F.col("is_delete")).drop("is_delete")
+
     def live(self) -> DataFrame | None:
         ops = self.ops()
-        return None if ops is None else live(ops, "k", self.merge)
+        return None if ops is None else self._live(ops)
 
     def get(self, key) -> DataFrame | None:
-        ops = self.ops()
-        return None if ops is None else get(ops, key, "k", self.merge)
+        ops = self.ops(key, key)
+        return None if ops is None else self._live(ops.filter(F.col("k") == key))
 
     def find(self, requests: DataFrame) -> DataFrame | None:
         ops = self.ops()
-        return None if ops is None else find(ops, requests, "k", self.merge)
+        return None if ops is None else find(self._live(ops).withColumn("is_delete", F.lit(False)), requests, "k")
 
     def scan(self, start=None, end=None, limit: int = 0, start_included: bool = True, end_included: bool = False, descending: bool = False) -> DataFrame | None:
         """Live rows of a key range in key order. The bounds reach every run's scan, and runs outside them aren't read."""
-        ops = self.ops()
+        ops = self.ops(start, end)
         if ops is None:
             return None
-        return ordered(live(bounded(ops, "k", start, end, start_included, end_included), "k", self.merge), "k", limit, descending)
+        return ordered(self._live(bounded(ops, "k", start, end, start_included, end_included)), "k", limit, descending)
 
     def block_map(self) -> list[dict]:
         """The runs, newest level first."""

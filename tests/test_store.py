@@ -1,5 +1,6 @@
 """Stores, maps and streams."""
 
+import math
 import random
 
 import pytest
@@ -132,7 +133,7 @@ def test_streams_give_the_batch_state(spark, tmp_path):
 def test_every_query_has_rows(spark):
     from siltbed.plans.queries import ORACLE_SQL, QUERIES
 
-    assert set(QUERIES) - set(ORACLE_SQL) == {"kv_decayed_rate"}
+    assert set(QUERIES) == set(ORACLE_SQL)
     assert QUERIES["kv_resolve"](spark, "/root/testdata/sf0.001").columns == ["k", "v", "seq"]
     rows = oplog.ops(spark, "/root/testdata/sf0.001")
     assert rows.count() == 1000
@@ -150,3 +151,74 @@ def test_decayed_rate(spark):
         d = math.exp(-(t - s) / 60)
         want = (1 - d) * x + d * want
     assert abs(got - want) < 1e-9
+
+
+def test_an_expired_row_never_uncovers_an_older_one(spark, tmp_path):
+    store = Store.create(spark, f"file://{tmp_path}/s", expiry=5)
+    store.insert(spark.createDataFrame([("a", "old", 1, False)], OPS))
+    store.compact(0)
+    store.compact(1)
+    store.insert(spark.createDataFrame([("a", "new", 2, False), ("b", "x", 100, False)], OPS))
+    reads = [as_dict(store.live())]
+    for level in (0, 1):
+        store.compact(level)
+        reads.append(as_dict(store.live()))
+    assert reads == [{"b": "x"}] * 3 and store.get("a").count() == 0
+    assert [r["k"] for r in store.scan("a", "z").collect()] == ["b"]
+
+
+def test_late_operations_stay(spark, tmp_path):
+    store = Store.create(spark, f"file://{tmp_path}/s")
+    store.insert(spark.createDataFrame([("a", "x", 10, False)], OPS))
+    late = spark.createDataFrame([("b", "y", 9, False), ("c", "z", 11, False), ("a", "older", 3, False)], OPS)
+    store.insert(late)
+    store.insert(late)
+    again = Store.open(spark, store.path)
+    again.compact(0)
+    again.insert(late)
+    assert as_dict(again.live()) == {"a": "x", "b": "y", "c": "z"} and len(again.block_map()) == 1
+    assert [r["k"] for r in again.scan("x", "y").collect()] == []
+
+
+def test_each_row_and_the_one_before(spark):
+    from siltbed.operators import resolve, stats
+
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), n, rng.randrange(1000), rng.random()) for n in range(3000)]
+    df = spark.createDataFrame(rows, "g string, seq long, k long, x double")
+    want, last = set(), {}
+    for g, n, k, _ in rows:
+        if g in last and last[g] >= k:
+            want.add((g, n))
+        last[g] = k
+    assert {(r["g"], r["seq"]) for r in resolve.out_of_order(df, "k", "g").collect()} == want
+    rate, at = {}, {}
+    for g, n, _, x in rows:
+        d = math.exp(-(n - at[g]) / 60) if g in at else 0.0
+        rate[g], at[g] = (1 - d) * x + d * rate.get(g, 0.0), n
+    got = {r["g"]: r["rate"] for r in stats.decayed(df, "g", "seq", "x").collect()}
+    assert got.keys() == rate.keys() and all(abs(got[g] - rate[g]) < 1e-5 for g in rate)
+
+
+def test_rows_without_bytes_count_for_nothing(spark):
+    from siltbed.operators import scan
+
+    rows = spark.createDataFrame([("", ""), ("a", ""), ("b", ""), ("c", "")], "k string, v string")
+    size = scan.F.octet_length("k") + scan.F.octet_length("v")
+    read = lambda **x: [r["k"] for r in scan.within_bytes(rows, size, **x).collect()]
+    assert read(max_bytes=2) == ["", "a", "b"] and read(max_bytes=2, max_records=2) == ["", "a"]
+    assert read(max_bytes=2, descending=True) == ["c", "b"] and read(max_bytes=9) == ["", "a", "b", "c"] and read(max_records=1) == [""]
+
+
+def test_adding_dropping_and_how_scans_end(spark):
+    catalogue = spark.createDataFrame([("db", 3), ("db1", 7)], "name string, id long")
+    names = spark.createDataFrame([("x",), ("db",), ("b",), ("x",)], "name string")
+    assert {tuple(r) for r in maps.new_maps(catalogue, names).collect()} == {("b", 8), ("x", 9)}
+    assert {tuple(r) for r in maps.new_maps(catalogue.limit(0), names).collect()} == {("b", 3), ("db", 4), ("x", 5)}
+    codes = maps.drop_maps(catalogue, names.distinct())
+    assert {tuple(r) for r in codes.collect()} == {("x", "MapNotFound"), ("db", "Success"), ("b", "MapNotFound")}
+    records = spark.createDataFrame([("db", "k1", "v"), ("db", "k2", "v"), ("db1", "k1", "v")], "map string, k string, v string")
+    assert [tuple(r) for r in maps.after_writes(records, maps.dropped_records(records, codes)).collect()] == [("db1", "k1", "v")]
+    assert maps.scan_code(catalogue, maps.scan(records, "none"), "none") == "MapNotFound"
+    assert maps.scan_code(catalogue, maps.scan(records, "db"), "db", 9, 9) == "ScanEnded"
+    assert maps.scan_code(catalogue, maps.scan(records, "db", max_records=1), "db", 1) == "Success"
