@@ -1,4 +1,8 @@
-"""A training corpus from raw documents: quality, near duplicates, repeated passages, personal data, packing."""
+"""A training corpus from raw documents: quality, near duplicates, repeated passages, personal data, packing.
+
+Every stage takes documents with any null, with empty and very long texts, with rows that repeat and with more columns,
+which are left out; no documents give no rows. Each reads whole texts and all rows of what the stage before has kept.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +19,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go. Without usable labels all stay."""
+    """Documents that the quality classifier rejects go. Without usable labels all stay; each row is judged by its own text, a null one as empty."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
@@ -26,17 +30,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out; every document stays."""
+    """Passages that an earlier document has are cut out; every document stays, also those without doc_id, unchanged."""
     return substring_dedup.remove_repeated(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become the names of their kinds; every document stays."""
+    """Personal data become the names of their kinds; every document stays, and a null text stays null."""
     return pii.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents, placed in sequences of 2048 tokens."""
+    """Token pieces of all documents, placed in sequences of 2048 tokens; a null text is as an empty one."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -24,6 +24,7 @@ CONTENT, METADATA = 16, 4 + SOURCES + LANGS
 
 _LETTER = np.zeros(256, bool)
 _LETTER[list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = True
+_LETTERS = np.flatnonzero(_LETTER).astype(np.uint8).tobytes()
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _DIGIT = np.zeros(256, bool)
@@ -45,7 +46,7 @@ def content(text: str) -> list[float]:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     ends = Counter(w[-1] for w in words)
     marked = sum(v for c, v in ends.items() if _MARK[c])
-    bare = sum(v for w, v in distinct.items() if not _LETTER[list(w)].any()) if len(distinct) < 64 else sum(v for w, v in distinct.items() if len(w) <= 3 and not _LETTER[list(w)].any())
+    bare = sum(v for w, v in distinct.items() if len(w.translate(None, _LETTERS)) == len(w))
     return [
         marked / n,
         counts[_MARK].sum() / seen,
@@ -165,11 +166,24 @@ def _fit(rows: list, taught: list[dict]) -> CoTrained:
     return CoTrained(models, platt, Logistic(np.stack(logits, axis=1), y[held], ridge=0.1))
 
 
+def _first(rows: DataFrame, order: list, n: int, *columns: str) -> list:
+    """The first n rows, of which alone the driver hears: tasks send theirs to one another."""
+    first = written(rows.orderBy(*order).limit(n).select(*columns), "first")
+    out = first.collect()
+    forget(first)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled: int = LABELLED) -> tuple[DataFrame, CoTrained | None]:
     """The views of all documents, and the model; None without labels of both classes."""
     features = written(views(docs), "views")
     known = labels.filter(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    rows = features.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "content", "metadata").limit(labelled).collect()
+    both = features.join(known, "doc_id").withColumn("_dice", F.xxhash64("doc_id"))
+    n = both.count()
+    if n > labelled:  # little more than what is asked for is ordered
+        both = both.filter(F.col("_dice") < min((1 << 63) - 1, int((1.1 * labelled / n + 100 / n) * (1 << 64)) - (1 << 63)))
+    rows = _first(both, ["_dice", "doc_id", "content", "metadata"], labelled, "_dice", "doc_id", "content", "metadata", "quality")
+    rows.sort(key=lambda r: (r["_dice"], r["doc_id"], r["content"], r["metadata"]))
     split = Counter((n % FOLD == 0, r["quality"]) for n, r in enumerate(rows))
     if min(split[h, q] for h in (True, False) for q in (0, 1)) < 2:
         return features, None
@@ -179,8 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled: int
     for _ in range(rounds):
         scored = written(_scored(free, model), "scored")
         for k, (view, other) in enumerate((("p_content", "metadata"), ("p_metadata", "content"))):
+            fresh = scored.filter(~F.col("doc_id").isin(sorted(taught[1 - k]))) if taught[1 - k] else scored
             for quality, order, sure in ((1, F.desc(view), F.col(view) >= SURE), (0, F.asc(view), F.col(view) <= 1 - SURE)):
-                for r in scored.filter(sure).orderBy(order, F.xxhash64("doc_id"), other).select("doc_id", other).limit(CONFIDENT).collect():
+                for r in sorted(_first(fresh.filter(sure), [order, F.xxhash64("doc_id"), other], CONFIDENT, "doc_id", other)):
                     taught[1 - k].setdefault(r["doc_id"], (r[other], quality))
         forget(scored)
         model = _fit(rows, taught)
@@ -190,10 +205,10 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled: int
 def score(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled: int = LABELLED) -> DataFrame:
     """doc_id, p_content, p_metadata, p_quality and kept of every document.
 
-    docs: doc_id, text, lang, source, n_chars; labels: doc_id and quality (0 or 1; other values and nulls are ignored).
-    The views are fitted on at most `labelled` labelled rows, taken by their id's hash. In each round both views score
-    all documents that have no label; the CONFIDENT surest of each class, if the view is SURE of them, become labels for
-    the other view, each document once for a view. A FOLDth of the labelled rows is never fitted on: it calibrates each
+    docs: doc_id, text, lang, source, n_chars, any of which may be null, other columns are ignored; labels: doc_id and
+    quality (0 or 1; other values and nulls are ignored). The views are fitted on at most `labelled` labelled rows, taken by their id's hash. In each round both views score
+    all documents that have no label; the CONFIDENT surest of each class that it has not taught yet, if the view is
+    SURE of them, become labels for the other view. A FOLDth of the labelled rows is never fitted on: it calibrates each
     view and the weights of both. Without labels of both classes (two of each at least in each part) nothing can be
     learnt, and every document is kept with a probability of 1. Rows that repeat a doc_id each get the score of their
     own text. No documents: no rows.
@@ -206,7 +221,7 @@ def score(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled: in
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang, source, n_chars) without those that score() rejects.
+    """docs (doc_id, text, lang, source, n_chars) without those that score() rejects; nulls, repeated rows and empty tables are as there.
 
     The fitted model is a few hundred numbers, so it goes to the documents where they are read, and no text is shuffled.
     """

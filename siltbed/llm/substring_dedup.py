@@ -489,7 +489,9 @@ def remove_repeated(docs: DataFrame, passage: int = PASSAGE, percent: int = PERC
     """docs (doc_id, text, lang, source, n_chars) whose texts have lost the passages that an earlier document has.
 
     The first document with a passage keeps it. Every document stays, with n_chars counted anew where its text has
-    changed; one that is all repeated passage stays with what is left, which may be an empty text.
+    changed; one that is all repeated passage stays with what is left, which may be an empty text. Null and empty texts
+    and rows without doc_id stay as they are, rows that repeat a doc_id lose the same words each, other columns are left
+    out; no documents, no rows.
     """
     small_batches(docs.sparkSession)
     spans = written(repeated_passages(docs, passage, percent).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
