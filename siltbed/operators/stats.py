@@ -71,7 +71,7 @@ def decayed(samples: DataFrame, by: str, seconds: str, value: str, life: float =
     ends = samples.groupBy(by).agg(F.max(seconds).alias("_end"))
     share = F.when(F.col("_gap").isNull(), 1.0).otherwise(1 - F.exp(-F.col("_gap") / life))
     each = gaps.join(F.broadcast(ends), by).withColumn("_w", share * F.col("_x") * F.exp((F.col(seconds) - F.col("_end")) / life))
-    return each.groupBy(by).agg(F.round(F.sum("_w"), 6).alias("rate"))
+    return each.groupBy(by).agg(F.sum("_w").alias("rate"))
 
 
 def with_previous(rows: DataFrame, by: str, order: str, to: str = "_previous", carried: str | None = None) -> DataFrame:

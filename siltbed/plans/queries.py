@@ -326,7 +326,7 @@ g AS (SELECT *, lag(us) OVER (PARTITION BY event_type ORDER BY us) AS b, max(us)
 SELECT event_type, round(sum((CASE WHEN b IS NULL THEN 1.0 ELSE 1 - exp(-(us - b) / 6e7) END) * x * exp((us - e) / 6e7)), 6) AS rate FROM g GROUP BY event_type""")
 def kv_decayed_rate(spark, sf_dir):
     samples = oplog.table(spark, sf_dir, "events").select("event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"), "value")
-    return stats.decayed(samples, "event_type", "s", "value")
+    return stats.decayed(samples, "event_type", "s", "value").withColumn("rate", F.round("rate", 6))
 
 
 @query(f"WITH {OPS} SELECT level, k, seq FROM (SELECT *, lag(k) OVER (PARTITION BY level ORDER BY seq) AS b FROM lev) WHERE b >= k")
