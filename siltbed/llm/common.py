@@ -14,6 +14,10 @@ BATCH_ROWS = 500
 #: Rows of one key that one window partition of gapless_rank() is planned for.
 RANK_ROWS = 20_000
 RANK_SALTS = 64
+#: Slices that among() joins large tables in, at most.
+SLICES = 8
+#: Whether a query's shuffle files are deleted when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of ids up to which a table is broadcast rather than joined with a shuffle: some tens of megabytes.
 BROADCAST_ROWS = 1_000_000
 
@@ -50,16 +54,49 @@ def _remove_own(folder: str) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage is cut and survives lost executors."""
-    spark = df.sparkSession
+    """df as a Parquet table in the shared folder, read again: lineage is cut and survives lost executors.
+
+    Nothing reads the write's shuffles after it, so their files go with its end rather than with some later collection
+    of the driver's garbage.
+    """
+    return written_parts([df], name)
+
+
+def written_parts(parts: list[DataFrame], name: str) -> DataFrame:
+    """All parts, of one schema, as one table of written(); each is computed by itself, so the disk holds one part's shuffles at a time."""
+    spark, schema = parts[0].sparkSession, parts[0].schema
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        for df in parts:
+            df.write.parquet(path, mode="append", compression="zstd")
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(schema).parquet(path)
     out._siltbed_path = path
     return out
 
 
+def among(df: DataFrame, few: DataFrame, key: str, name: str, how: str = "inner") -> DataFrame:
+    """written() of df's rows whose `key`, a long, is in `few`, a written table.
+
+    Where `few` is too large to be broadcast, the rows are joined in slices by key, so that no shuffle holds all of df.
+    """
+    n = few.count()
+    slices = min(SLICES, -(-n // BROADCAST_ROWS))
+    if slices <= 1:
+        return written(df.join(F.broadcast(few), key, how), name)
+    # Some bits that neither the shuffle nor a count of buckets goes by.
+    slice_of = F.pmod(F.shiftrightunsigned(key, 17), F.lit(slices))
+    small = n <= slices * BROADCAST_ROWS
+    parts = []
+    for k in range(slices):
+        own = few.filter(slice_of == k)
+        parts.append(df.filter(slice_of == k).join(F.broadcast(own) if small else own, key, how))
+    return written_parts(parts, name)
+
+
 def by_size(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written table for a join: broadcast up to so many rows, else left to a shuffle, which splits what is too large."""
     return F.broadcast(df) if df.count() <= rows else df

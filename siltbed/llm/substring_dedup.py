@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import by_size, forget, small_batches, text_or_empty, written
+from siltbed.llm.common import among, by_size, forget, small_batches, text_or_empty, written
 from siltbed.llm.shingles import hashed_words, mixed, shingled, shingled_rows
 
 #: Words of a shingle and of the shortest passage; hash functions, and how many have to agree on a passage.
@@ -387,13 +387,13 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, percent: int = PE
 
     found = written(windows(texts, passage), "windows")
     shared = written(found.groupBy("key").agg(F.sum(F.col("first").cast("int")).alias("_n")).filter("_n > 1").select("key"), "shared")
-    rows = written(found.drop("first").join(by_size(shared), "key"), "rows")
+    rows = among(found.drop("first"), shared, "key", "rows")
     forget(found, shared)
     block = [F.shiftrightunsigned("blocks", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(len(BLOCKS))]
     each = rows.withColumn("bucket", F.explode(F.array_compact(F.array(*[F.when(b != 0, F.xxhash64("key", F.lit(k), b)) for k, b in enumerate(block)]))))
     first = each.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("_last")).filter("a < _last").select("bucket", "a")
     first = written(first, "first")
-    near = written(each.join(by_size(first), "bucket"), "near")
+    near = among(each, first, "bucket", "near")
     forget(rows, first)
     reach = near.filter("doc_id = a").groupBy("bucket").agg(*[f(x).alias(n) for f, x, n in ((F.min, "l", "la"), (F.min, "c", "ca_low"), (F.max, "c", "ca_high"), (F.max, "r", "ra"))])
     reach = written(reach, "reach")
