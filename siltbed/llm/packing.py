@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 from unicodedata import is_normalized
 
 import numpy as np
@@ -20,6 +23,14 @@ CACHE_CHUNKS, CHUNK_CHARS = 500_000, 48
 TOGETHER = 2048
 
 _chunks: dict[str, Chunks] = {}
+#: Marks whose run after letters is encoded by itself: no quotes and no "<", which begin tokens of their own.
+TAIL = ".,;:!?%#&*$"
+#: A chunk, between spaces, that folding leaves as it is.
+_PLAIN = re.compile("(?<= )[a-z]+(?= )")
+
+
+def _le(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Chunks:
@@ -57,24 +68,25 @@ class Chunks:
     def learn(self, new: set[str]) -> None:
         """Adds the chunks' ids to the known ones.
 
-        The tokenizer folds case, and a comma or full stop after a letter is a token of its own. So a chunk of letters
-        is looked up in lower case and without that last mark, and its merges alone are run when it is new; any other
-        chunk goes through the whole tokenizer.
+        The tokenizer folds case, and parts letters from a run of marks after them. So a chunk of letters is looked up
+        in lower case and without such a tail, and its merges alone are run when it is new; tails and any other chunk go
+        through the whole tokenizer.
         """
         known, stems, rest = self.known, {}, []
-        for c in new:
-            last = c[-1:] if c[-1:] in (".", ",") else ""
-            low = (c[:-1] if last else c).lower()
-            if self.folds and low.isalpha() and (low.isascii() or low.islower() and is_normalized("NFC", c) and "\u03c2" not in low and "\u0307" not in low):
-                stems[c] = (low, last)
+        plain = set(_PLAIN.findall(f" {' '.join(new)} ")) if self.folds else set()
+        for c in new.difference(plain):
+            stem = c.rstrip(TAIL)
+            low = stem.lower()
+            if self.folds and low.isalpha() and (low.isascii() or low.islower() and is_normalized("NFC", stem) and "\u03c2" not in low and "\u0307" not in low):
+                stems[c] = (low, c[len(stem) :])
             else:
                 rest.append(c)
-        ask = list({low for low, _ in stems.values()}.difference(known))
+        ask = list(plain.union([low for low, _ in stems.values()]).difference(known))
         known.update(zip(ask, self.runs_of_letters(ask), strict=True))
         more = list({last for _, last in stems.values()}.union(rest).difference(known))
         for at in range(0, len(more), TOGETHER):
             part = more[at : at + TOGETHER]
-            known.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False), strict=True))
+            known.update((c, _le(e.ids)) for c, e in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False), strict=True))
         for c, (low, last) in stems.items():
             known[c] = known[low] + known[last] if last else known[low]
 
@@ -91,15 +103,13 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     split = [t.replace("\n", " ").split(" ") for t in texts]
     if len(chunks.known) > CACHE_CHUNKS:
         chunks.known.clear()
-    seen: set[str] = set()
-    for parts in split:
-        seen.update(parts)
-    chunks.learn(seen.difference(chunks.known))
     known = chunks.known
-    out = [b"".join([known[c] for c in parts]) for parts in split]
-    for c in seen:
-        if len(c) > CHUNK_CHARS:
-            del known[c]
+    new = set(filterfalse(known.__contains__, chain.from_iterable(split)))
+    long = [c for c in new if len(c) > CHUNK_CHARS]
+    chunks.learn(new)
+    out = [b"".join(map(known.__getitem__, parts)) for parts in split]
+    for c in long:
+        del known[c]
     return out
 
 

@@ -127,3 +127,20 @@ def test_the_plan_fills_ranks_once():
         for seq, _, n in used:
             rooms[seq] += n
         assert max(rooms.values()) <= 64
+
+
+def test_marks_after_letters_are_looked_up_once():
+    texts = [a + b for a in ("word", "Écrit", "e\u0301", "İx", "ΣΑΣ", "日本", "x1", "don't", "<|endoftext|>") for b in ("%%%", ".***", "$", ",.", "?!'s", "###.")]
+    whole = Tokenizer.from_file(WORDS)
+    assert packing.encode_texts(texts, WORDS) == [le(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    chunks, asked = packing.Chunks(WORDS), []
+    real = chunks.whole
+
+    class Counted:
+        def encode_batch_fast(self, part, **how):
+            asked.extend(part)
+            return real.encode_batch_fast(part, **how)
+
+    chunks.whole = Counted()
+    chunks.learn({f"{w}%%%" for w in ("some", "Other", "words")})
+    assert asked == ["%%%"]
