@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -39,33 +41,51 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return _vocabularies[path, pattern]
 
 
+def _of_bytes(v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The id of each byte and the rank of each two bytes' pair; -1 where there is none."""
+    if not hasattr(v, "of_bytes"):
+        one = np.array([v.ranks.get(bytes([i]), -1) for i in range(256)])
+        two = [v.pairs.get((a, b), -1) for a in one.tolist() for b in one.tolist()]
+        v.of_bytes = one, np.array(two).reshape(256, 256)
+    return v.of_bytes
+
+
 def replay(words: list[bytes], v: Vocabulary) -> list[list[int]]:
-    """The ids of each word.
+    """The ids of each word."""
+    ids, to = _replayed(words, v)
+    return [x.tolist() for x in np.split(ids, to[1:-1])] if words else []
+
 
-    All words' bytes stand in one sequence, linked within each word. An inverted index has, for each pair's rank, the
-    positions where the pair stands; the lowest rank that has any is applied at all of them, left to right, and only
-    the pairs with the neighbours left and right of a merge are looked up anew. Within a word BPE takes the lowest rank
-    of the moment: where a merge gives a neighbour pair of a lower rank still, the rest of its word waits until that
-    one is done.
+def _replayed(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """All words' ids in order, and where each word's begin.
+
+    All words' bytes stand in one sequence, linked within each word; a word that is a token stands there as that. An
+    inverted index has, for each pair's rank, the positions where the pair stands; the lowest rank that has any is
+    applied at all of them, left to right, and only the pairs with the neighbours left and right of a merge are looked
+    up anew. Within a word BPE takes the lowest rank of the moment: where a merge gives a neighbour pair of a lower rank
+    still, the rest of its word waits until that one is done.
     """
-    pairs, ranks = v.pairs, v.ranks
-    ids: list[int] = []
-    word: list[int] = []
-    first: list[int] = []
-    whole: dict[int, int] = {}
-    for n, w in enumerate(words):
-        first.append(len(ids))
-        if w in ranks:
-            whole[n] = ranks[w]
-            continue
-        ids += [ranks[w[i : i + 1]] for i in range(len(w))]
-        word += [n] * len(w)
-    end = len(ids)
+    one, two = _of_bytes(v)
+    pair_rank = v.pairs.get
+    whole = np.array([v.ranks.get(w, -1) for w in words], dtype=np.int64)
+    size = np.where(whole < 0, np.array([len(w) for w in words], dtype=np.int64), 1)
+    of_word = np.repeat(np.arange(len(words)), size)
+    inside = (whole < 0)[of_word]
+    raw = np.zeros(len(of_word), dtype=np.uint8)
+    raw[inside] = np.frombuffer(b"".join([w for w, n in zip(words, whole.tolist(), strict=True) if n < 0]), dtype=np.uint8)
+    begin = np.where(inside, one[raw], whole[of_word])
+    if len(begin) and begin.min() < 0:
+        raise KeyError("a byte that is no token")
+    ranked = np.full(len(of_word), -1, dtype=np.int64)
+    if len(raw) > 1:
+        ranked[:-1] = np.where(inside[:-1] & (of_word[:-1] == of_word[1:]), two[raw[:-1], raw[1:]], -1)
+    places = np.flatnonzero(ranked >= 0)
+    places = places[np.argsort(ranked[places], kind="stable")]
+    cuts = np.flatnonzero(np.diff(ranked[places], prepend=-1))
+    bounds = [*cuts.tolist(), len(places)]
+    index: dict[int, list[int]] = {r: places[x:y].tolist() for r, x, y in zip(ranked[places[cuts]].tolist(), bounds, bounds[1:], strict=False)}
+    ids, word, at_rank, end = begin.tolist(), of_word.tolist(), ranked.tolist(), len(begin)
     right, left = list(range(1, end + 1)), list(range(-1, end - 1))
-    index: dict[int, list[int]] = {}
-    for at in range(end - 1):
-        if word[at] == word[at + 1] and (r := pairs.get((ids[at], ids[at + 1]))) is not None:
-            index.setdefault(r, []).append(at)
     order = list(index)
     heapq.heapify(order)
     while order:
@@ -77,44 +97,47 @@ def replay(words: list[bytes], v: Vocabulary) -> list[list[int]]:
         waits = -1
         later: list[int] = []
         for at in places:
-            to = right[at] if ids[at] >= 0 else end
-            if to >= end or word[to] != word[at] or pairs.get((ids[at], ids[to])) != rank:
+            if at_rank[at] != rank:
                 continue  # a merge since has taken one side
-            if word[at] == waits:
+            own = word[at]
+            if own == waits:
                 later.append(at)
                 continue
-            after = right[to]
-            ids[at], ids[to], right[at] = rank, -1, after
+            to = right[at]
+            after, before = right[to], left[at]
+            ids[at], ids[to], right[at], at_rank[at], at_rank[to] = rank, -1, after, -1, -1
             if after < end:
                 left[after] = at
-                if word[after] == word[at] and (r := pairs.get((rank, ids[after]))) is not None:
-                    if r not in index:
-                        index[r] = []
+                if word[after] == own and (r := pair_rank((rank, ids[after]))) is not None:
+                    at_rank[at] = r
+                    if r in index:
+                        index[r].append(at)
+                    else:
+                        index[r] = [at]
                         heapq.heappush(order, r)
-                    index[r].append(at)
                     if r < rank:
-                        waits = word[at]
-            before = left[at]
-            if before >= 0 and word[before] == word[at] and (r := pairs.get((ids[before], rank))) is not None:
-                if r not in index:
-                    index[r] = []
+                        waits = own
+            if before >= 0 and word[before] == own:
+                r = pair_rank((ids[before], rank))
+                if r is None:
+                    at_rank[before] = -1
+                    continue
+                at_rank[before] = r
+                if r in index:
+                    index[r].append(before)
+                else:
+                    index[r] = [before]
                     heapq.heappush(order, r)
-                index[r].append(before)
                 if r < rank:
-                    waits = word[at]
+                    waits = own
         if later:
             if rank not in index:
                 index[rank] = []
                 heapq.heappush(order, rank)
             index[rank] += later
-    out = []
-    for n, w in enumerate(words):
-        if n in whole:
-            out.append([whole[n]])
-        else:
-            at = first[n]
-            out.append([i for i in ids[at : at + len(w)] if i >= 0])
-    return out
+    out = np.array(ids, dtype=np.int64)
+    kept = out >= 0
+    return out[kept], np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(size)])]
 
 
 def encode_texts(texts: list[str], v: Vocabulary) -> list[bytes]:
@@ -123,13 +146,15 @@ def encode_texts(texts: list[str], v: Vocabulary) -> list[bytes]:
     split = [v.find(t) for t in texts]
     if len(known) > CACHE_WORDS:
         known.clear()
-    new = list({w for words in split for w in words}.difference(known))
+    new = list(set(filterfalse(known.__contains__, chain.from_iterable(split))))
     raw = [w.encode() for w in new]
     fresh: dict[str, bytes] = {}
-    for w, b, ids in zip(new, raw, replay(raw, v), strict=True):
-        (known if len(b) <= WORD_BYTES else fresh)[w] = b"".join([i.to_bytes(4, "little") for i in ids])
+    ids, to = _replayed(raw, v)
+    packed, to = ids.astype("<u4").tobytes(), (4 * to).tolist()
+    for w, b, x, y in zip(new, raw, to, to[1:], strict=False):
+        (known if len(b) <= WORD_BYTES else fresh)[w] = packed[x:y]
     if not fresh:
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
     return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in split]
 
 

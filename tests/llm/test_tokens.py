@@ -144,3 +144,20 @@ def test_marks_after_letters_are_looked_up_once():
     chunks.whole = Counted()
     chunks.learn({f"{w}%%%" for w in ("some", "Other", "words")})
     assert asked == ["%%%"]
+
+
+def test_pairs_of_bytes_are_found_together(library):
+    v = byte_bpe.Vocabulary(RANKS, public_tokenizers.PATTERN)
+    asked = 0
+
+    class Counted(dict):
+        def get(self, *a):
+            nonlocal asked
+            asked += 1
+            return super().get(*a)
+
+    byte_bpe.replay([b"warm"], v)
+    v.pairs = Counted(v.pairs)
+    words = [b"thershndx", "größerenthe".encode(), b""]
+    assert byte_bpe.replay(words, v) == [library.encode_ordinary(w.decode()) if w else [] for w in words]
+    assert asked < sum(map(len, words)) * 2
