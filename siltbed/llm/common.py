@@ -18,7 +18,7 @@ RANK_SALTS = 64
 SLICES = 8
 #: Whether a query's shuffle files are deleted when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Rows of ids up to which a table is broadcast rather than joined with a shuffle: some tens of megabytes.
+#: Rows of ids up to which a table is broadcast rather than joined with a shuffle: some tens of megabytes; in sliced() half as many more of one or two columns.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -78,23 +78,25 @@ def written_parts(parts: list[DataFrame], name: str) -> DataFrame:
     return out
 
 
-def among(df: DataFrame, few: DataFrame, key: str, name: str, how: str = "inner") -> DataFrame:
-    """written() of df's rows whose `key`, a long, is in `few`, a written table.
-
-    Where `few` is too large to be broadcast, the rows are joined in slices by key, so that no shuffle holds all of df.
-    """
-    n = few.count()
-    slices = min(SLICES, -(-n // BROADCAST_ROWS))
+def sliced(df: DataFrame, few: DataFrame, key: str, how: str = "inner") -> list[DataFrame]:
+    """df's rows whose `key`, a long, is in `few`, a written table, in one part or, where `few` is too large to be broadcast, in several by key."""
+    n, most = few.count(), BROADCAST_ROWS * 3 // 2 if len(few.columns) <= 2 else BROADCAST_ROWS
+    slices = min(SLICES, -(-n // most))
     if slices <= 1:
-        return written(df.join(F.broadcast(few), key, how), name)
+        return [df.join(F.broadcast(few), key, how)]
     # Some bits that neither the shuffle nor a count of buckets goes by.
     slice_of = F.pmod(F.shiftrightunsigned(key, 17), F.lit(slices))
-    small = n <= slices * BROADCAST_ROWS
+    small = n <= slices * most
     parts = []
     for k in range(slices):
         own = few.filter(slice_of == k)
         parts.append(df.filter(slice_of == k).join(F.broadcast(own) if small else own, key, how))
-    return written_parts(parts, name)
+    return parts
+
+
+def among(df: DataFrame, few: DataFrame, key: str, name: str, how: str = "inner") -> DataFrame:
+    """written() of sliced(), so that no shuffle holds all of df."""
+    return written_parts(sliced(df, few, key, how), name)
 
 
 def by_size(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

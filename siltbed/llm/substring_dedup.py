@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import among, by_size, forget, small_batches, text_or_empty, written
+from siltbed.llm.common import among, by_size, forget, sliced, small_batches, text_or_empty, written, written_parts
 from siltbed.llm.shingles import hashed_words, mixed, shingled, shingled_rows
 
 #: Words of a shingle and of the shortest passage; hash functions, and how many have to agree on a passage.
@@ -20,6 +22,8 @@ PERCENT = 80
 BLOCK, BLOCKS = 12, (-24, -12, 1, 13)
 #: Members of one side of a comparison tile, and shortest passages to either side of a least shingle that are verified then.
 TILE, SPAN = 1024, 4
+#: Tiles' worth of rows of small keys that are compared in one task, bits of a set of shingles, sources that a row is held against at a time, and pairs.
+TOGETHER, BITS, AT_ONCE, PAIRS = 4, 2048, 64, 4096
 #: Rows of spans up to which they go to the texts rather than the texts to them.
 SPAN_ROWS = 200_000
 
@@ -127,12 +131,34 @@ def stretches(one: np.ndarray, two: np.ndarray, width: int, percent: int) -> lis
         return []
     starts, froms, size = found.T
     ends, tos = starts + size, froms + size
-    hits = np.concatenate([[0], np.cumsum(np.isin(two, one))])
+    if len(found) == 1 and size[0] >= width:
+        return [(int(starts[0]), int(ends[0]), int(froms[0]), int(tos[0]), 1.0)]
+    stands = np.isin(two, one)
+    hits = np.concatenate([[0], np.cumsum(stands)])
     upto = np.maximum.accumulate(np.concatenate([[0], ends]))
     lows, highs = np.where(size >= HULL, froms, len(one)), np.where(size >= HULL, tos, 0)
     joint = np.cumsum(np.maximum(0, ends - np.maximum(starts, upto[:-1])))  # places of two in runs so far
     out: list[tuple[int, int, int, int, float]] = []
-    alike, short, reach = _alikeness(one, two), [], 0
+    alike, earlier_two = _alikeness(one, two)
+    short, reach, filled = [], 0, {}
+
+    def fill(s: int, e: int, x: int, y: int, more: int) -> tuple[int, float] | None:
+        """How many of `more` neighbours are those to the left, so that both sides are alike, and how much."""
+        left = np.arange(more + 1)
+        left = left[(left <= min(s, x)) & (e + more - left <= len(two)) & (y + more - left <= len(one))]
+        if len(left):
+            # What stands in two alone counts at least as often as it does so for the first time since the leftmost start.
+            start = s - int(left[-1])
+            low, high = s - left - start, e + more - left - start
+            missing = np.concatenate([[0], np.cumsum(~stands[start : e + more] & (earlier_two[start : e + more] < start))])
+            most = hits[start + high] - hits[start + low]
+            left = left[100 * most >= percent * (most + missing[high] - missing[low])]
+        for k in left.tolist():
+            like = alike(s - k, e + more - k, x - k, y + more - k)
+            if 100 * like >= percent:
+                return k, like
+        return None
+
     for i, (s, x) in enumerate(zip(starts.tolist(), froms.tolist(), strict=True)):
         # In one the runs stand in the same order, or anyhow between the first and the last of them.
         fits = (ends[i:] > reach) & (ends[i:] >= ends[i])
@@ -141,33 +167,40 @@ def stretches(one: np.ndarray, two: np.ndarray, width: int, percent: int) -> lis
         chained = fits & (froms[i:] >= x) & (tos[i:] >= tos[i]) & (100 * shared >= (percent - MARGIN) * (n - shared))
         n, shared = ends[i:] - s + high - low, hits[ends[i:]] - hits[s]
         within = fits & (size[i:] >= HULL) & ((low < x) | (high > tos[i:])) & (100 * shared >= percent * (n - shared))
-        tries = [(int(ends[i + k]), x, int(tos[i + k])) for k in np.flatnonzero(chained)] + [(int(ends[i + k]), int(low[k]), int(high[k])) for k in np.flatnonzero(within)]
-        for e, x, y in sorted(tries, key=lambda t: -t[0]):
-            if min(e - s, y - x) < width:
-                short.append((s, e, x, y))
-                break
-            like = alike(s, e, x, y)
+        own, beside = np.flatnonzero(chained), np.flatnonzero(within)
+        if not len(own) + len(beside):
+            continue
+        e, y = np.concatenate([ends[i:][own], ends[i:][beside]]), np.concatenate([tos[i:][own], high[beside]])
+        back = np.concatenate([np.full(len(own), x), low[beside]])
+        order = np.argsort(-e, kind="stable")
+        e, back, y = e[order], back[order], y[order]
+        small = np.flatnonzero(np.minimum(e - s, y - back) < width)[:1]
+        upto_small = int(small[0]) if len(small) else len(e)
+        for k in range(upto_small):
+            at = (s, int(e[k]), int(back[k]), int(y[k]))
+            like = alike(*at)
             if 100 * like >= percent:
-                out.append((s, e, x, y, like))
-                reach = e
+                out.append((*at, like))
+                reach = at[1]
                 break
+        else:
+            short += [(s, int(e[k]), int(back[k]), int(y[k])) for k in small]
     for s, e, x, y in short:
         if any(o[0] <= s and e <= o[1] for o in out):
             continue
         more = width - min(e - s, y - x)
-        for left in range(more + 1):
-            low, high, back, on = s - left, e + more - left, x - left, y + more - left
-            if min(low, back) < 0 or high > len(two) or on > len(one):
-                continue
-            like = alike(low, high, back, on)
-            if 100 * like >= percent:
-                out.append((low, high, back, on, like))
-                break
+        # A text of few lines again and again has the same stretch beside the same neighbours many times.
+        key = (two[max(0, s - more) : e + more].tobytes(), min(s, more), e - s, x, y)
+        if key not in filled:
+            filled[key] = fill(s, e, x, y, more)
+        if filled[key]:
+            k, like = filled[key]
+            out.append((s - k, e + more - k, x - k, y + more - k, like))
     return out
 
 
 def _alikeness(one: np.ndarray, two: np.ndarray):
-    """A function of (s, e, x, y): the similarity of two[s:e] and one[x:y] as sets."""
+    """A function of (s, e, x, y), the similarity of two[s:e] and one[x:y] as sets; and for each place of two the one before it with the same value."""
     ids = np.unique(np.concatenate([one, two]), return_inverse=True)[1]
     one, two = ids[: len(one)], ids[len(one) :]
     earlier_one, earlier_two = _before(one), _before(two)
@@ -182,7 +215,7 @@ def _alikeness(one: np.ndarray, two: np.ndarray):
         # Both sums are whole numbers, so the quotient is right at the threshold.
         return shared / (int(np.count_nonzero(new)) + int(np.count_nonzero(earlier_one[x:y] < x)) - shared)
 
-    return alike
+    return alike, earlier_two
 
 
 def _before(values: np.ndarray) -> np.ndarray:
@@ -213,8 +246,8 @@ def _common(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     hit = np.flatnonzero(high > low)
     long_at = np.full(n, -1, dtype=np.int64)
     if min(n, len(one)) >= RUN:
-        rolled, first = np.unique(shingled(one, RUN), return_index=True)
-        mine = shingled(two, RUN)
+        rolled, first = np.unique(_runs(one), return_index=True)
+        mine = _runs(two)
         at = np.minimum(np.searchsorted(rolled, mine), len(rolled) - 1)
         long_at[: len(mine)] = np.where(rolled[at] == mine, first[at], -1)
     out: list[tuple[int, int, int]] = []
@@ -244,6 +277,15 @@ def _common(one: np.ndarray, two: np.ndarray) -> np.ndarray:
         i, shift = i + on, x - i
 
 
+def _runs(h: np.ndarray) -> np.ndarray:
+    """The hash of each RUN shingles that stand together, from those of half as many."""
+    n = 1
+    while n < RUN:
+        h = mixed(h[:-n]) + h[n:]
+        n *= 2
+    return h
+
+
 FOUND = "doc_id long, start int, end int, source_id long, source_start int, source_end int, similarity double"
 
 
@@ -267,8 +309,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
         names = [x.split()[0] for x in FOUND.split(", ")]
         for batch in batches:
             rows = []
-            for a, b, anchors, la, lb, one, two in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                marks = np.array([(x["h"], x["la"] - la, x["ra"] - la, x["lb"] - lb, x["rb"] - lb) for x in anchors], dtype=np.int64)
+            lists = batch.column(2)
+            bounds, every = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist(), lists.flatten()
+            every = np.stack([every.field(c).to_numpy().astype(np.int64) for c in ("h", "la", "ra", "lb", "rb")], axis=1)
+            rest = (x.to_pylist() for x in (batch.column(k) for k in (0, 1, 3, 4, 5, 6)))
+            for n, (a, b, la, lb, one, two) in enumerate(zip(*rest, strict=True)):
+                marks = every[bounds[n] : bounds[n + 1]] - (0, la, la, lb, lb)
                 for s, e, x, y, like in matched(unpacked(one), unpacked(two), marks, width, percent):
                     rows.append((b, lb + s, lb + e + SHINGLE - 1, a, la + x, la + y + SHINGLE - 1, like))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
@@ -278,22 +324,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return found
 
 
-def _anchored(rows: DataFrame) -> DataFrame:
-    """a, b, anchors, and how many hash functions these are of, from rows (a, ca_low, ca_high, la, ra; b, h, lb, c, rb).
+def _anchored(parts: list[DataFrame]) -> DataFrame:
+    """a, b, anchors and hs, a bit for each of their hash functions, from rows (a, ca_low, ca_high, la, ra; b, h, lb, c, rb) in parts, each of which is summed by itself.
 
     A passage of b lies in its window, so of a's windows what is further from their least shingles than it can reach is
     left out.
     """
     left, right = (F.ceil((F.col(x) - F.col(y)) * 100 / PERCENT).cast("int") for x, y in (("c", "lb"), ("rb", "c")))
     la, ra = F.greatest("la", F.col("ca_low") - left), F.least("ra", F.col("ca_high") + right)
-    return rows.groupBy("a", "b").agg(F.collect_set(F.struct("h", la.alias("la"), ra.alias("ra"), "lb", "rb")).alias("anchors"), F.countDistinct("h").alias("n"))
+    anchors = F.collect_set(F.struct("h", la.alias("la"), ra.alias("ra"), "lb", "rb")).alias("anchors")
+    summed = [rows.groupBy("a", "b").agg(anchors, F.bit_or(F.expr("shiftleft(1, h)")).alias("hs")) for rows in parts]
+    if len(summed) == 1:
+        return summed[0]
+    return written_parts(summed, "anchored").groupBy("a", "b").agg(F.flatten(F.collect_list("anchors")).alias("anchors"), F.bit_or("hs").alias("hs"))
 
 
-def _explained(rows: DataFrame, passages: DataFrame) -> DataFrame:
-    """doc_id, c of rows whose least shingle lies in a passage that is found."""
-    spans = written(passages.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
-    places = written(rows.select("doc_id", "c").distinct(), "places")
-    return places.join(spans, "doc_id").filter(F.exists("spans", lambda s: (s["start"] <= F.col("c")) & (F.col("c") < s["end"]))).select("doc_id", "c")
+def _unexplained(rows: DataFrame, passages: DataFrame) -> DataFrame:
+    """The rows whose least shingle (doc_id, c) lies in no passage that is found."""
+    spans = written(passages.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("_spans")), "spans")
+    within = F.exists("_spans", lambda s: (s["start"] <= F.col("c")) & (F.col("c") < s["end"]))
+    return rows.join(by_size(spans, SPAN_ROWS), "doc_id", "left").filter(~F.coalesce(within, F.lit(False))).select(*rows.columns)
 
 
 def _sources(members: DataFrame, width: int, percent: int, most: int) -> DataFrame:
@@ -301,14 +351,17 @@ def _sources(members: DataFrame, width: int, percent: int, most: int) -> DataFra
 
     members: key, doc_id, h, l, c, r, blocks, around, after; those with `after` are open. Open members and all members are
     dealt to blocks of about TILE, and each two blocks are one task, which gives the rows of `most` documents for an open
-    member and no pairs besides.
+    member and no pairs besides. Keys of one block are compared some thousand rows at a time.
     """
-    sized = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("_all"), F.ceil(F.count("after") / TILE).cast("int").alias("_open"))
+    sized = members.groupBy("key").agg(*[F.ceil(F.count(x) / TILE).cast("int").alias(n) for x, n in ((F.lit(1), "_all"), ("after", "_open"))], F.count(F.lit(1)).alias("_n"))
     sized = written(sized.filter("_open > 0"), "sized")
+    rows = sized.filter("_all = 1").agg(F.sum("_n")).first()[0] or 0
     dealt = members.join(by_size(sized), "key")
     dice = F.xxhash64("doc_id", "c")
-    every = dealt.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_open") - 1))).withColumn("j", F.pmod(dice, F.col("_all")).cast("int")).withColumn("after", F.lit(0).cast("long")).withColumn("asks", F.lit(False))
-    asks = dealt.filter("after IS NOT NULL").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_all") - 1))).withColumn("i", F.pmod(dice, F.col("_open")).cast("int")).withColumn("asks", F.lit(True))
+    alone = dealt.filter("_all = 1").select(*members.columns, F.pmod(F.xxhash64("key"), F.lit(rows // (TOGETHER * TILE) + 1)).alias("cell"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.col("after").isNotNull().alias("asks"), F.lit(True).alias("gives"))
+    tiled = dealt.filter("_all > 1").withColumn("cell", F.col("key"))
+    every = tiled.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_open") - 1))).withColumn("j", F.pmod(dice, F.col("_all")).cast("int")).withColumn("asks", F.lit(False)).withColumn("gives", F.lit(True))
+    asks = tiled.filter("after IS NOT NULL").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_all") - 1))).withColumn("i", F.pmod(dice, F.col("_open")).cast("int")).withColumn("asks", F.lit(True)).withColumn("gives", F.lit(False))
     # Two stretches of `width` or more share at least so many; what they share is `percent` of either at least.
     span = SPAN * width
     need = -(-2 * width * percent // (100 + percent))
@@ -316,48 +369,121 @@ def _sources(members: DataFrame, width: int, percent: int, most: int) -> DataFra
     names = [x.split()[0] for x in out.split(", ")]
     types = [pa.int64() if x.endswith("long") else pa.int32() for x in out.split(", ")]
 
+    def shapes(middle: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Size, start and end of each stretch of `width` or more with the place `middle`, of n - 1 places."""
+        if (middle, n) not in known:
+            i, j = np.arange(middle + 1)[:, None], np.arange(middle + 1, n)[None]
+            first, last = np.nonzero(j - i >= width)
+            known[middle, n] = last + middle + 1 - first, first, last + middle + 1
+        return known[middle, n]
+
+    known: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
     def compare(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("doc_id", "ascending"), ("c", "ascending")])
-        doc, h, low, c, high, after, asking = (t.column(x).to_numpy() for x in ("doc_id", "h", "l", "c", "r", "after", "asks"))
+        t = t.sort_by([("key", "ascending"), ("doc_id", "ascending"), ("c", "ascending")]).combine_chunks()
+        key, doc, h, low, c, high, asking, gives = (t.column(x).to_numpy() for x in ("key", "doc_id", "h", "l", "c", "r", "asks", "gives"))
+        after = t.column("after").fill_null(-1 << 63).to_numpy()
         blocks = t.column("blocks").to_numpy().view(np.uint16).reshape(-1, len(BLOCKS))
-        near = [unpacked(x) for x in t.column("around").to_pylist()]
-        around = [np.unique(x) for x in near]
+        # near: each row's shingles in order, from begin on; around: row and shingle of each row's set, in order.
+        raw = t.column("around").to_pylist()
+        begin = np.cumsum([0] + [len(x) // KEPT for x in raw])
+        hashes, near = np.unique(unpacked(b"".join(raw)), return_inverse=True)
+        around = np.sort(np.repeat(np.arange(len(raw), dtype=np.uint64), np.diff(begin)) << np.uint64(32) | near.astype(np.uint64))
+        around = around[np.append(True, around[1:] != around[:-1])]
+        at = np.searchsorted(around, np.arange(len(raw) + 1, dtype=np.uint64) << np.uint64(32))
+        size = np.diff(at)
+        bit = (mixed(hashes) % np.uint64(BITS)).astype(np.int64)[near]
+        table = np.zeros((len(raw), BITS), dtype=bool)
+        table[np.repeat(np.arange(len(raw)), np.diff(begin)), bit] = True
+        bits = np.packbits(table, axis=1).view(np.uint64)
+        merged = size - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        middle, marked = np.minimum(c, width - 1), np.zeros(len(hashes), dtype=bool)
+        single = size == np.diff(begin)
+
+        def dense(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+            """Whether some stretch about one's least shingle can be alike to one of `width`, by the bits of the other's shingles."""
+            n = begin[one + 1] - begin[one]
+            starts = np.cumsum(n) - n
+            value = np.where(table[np.repeat(other, n), bit[np.arange(n.sum()) + np.repeat(begin[one] - starts, n)]], 100, -percent)
+            upto = np.cumsum(value)
+            least = np.minimum.reduceat(np.append(upto - value, 0), np.stack([starts, starts + middle[one] + 1], axis=1).ravel())[::2]
+            most = np.maximum.reduceat(upto, np.stack([starts, starts + middle[one]], axis=1).ravel())[1::2]
+            return most - least >= percent * width
+
+        def sharing(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+            """Which of the rows b and a have `need` shingles in common, and may be alike: those whose bits leave room for both, counted."""
+            room = np.bitwise_count(bits[b] & bits[a]).sum(axis=1, dtype=np.int64) + np.minimum(merged[b], merged[a])
+            out = np.flatnonzero(room >= need)
+            for one, other in ((b, a), (a, b)):
+                if len(out):
+                    out = out[~single[b[out]] | dense(one[out], other[out])]
+            n, first = size[a[out]], at[a[out]]
+            if not n.sum():
+                return out[:0]
+            starts = np.cumsum(n) - n
+            own = around[np.arange(n.sum()) + np.repeat(first - starts, n)] & _LOW | np.repeat(b[out].astype(np.uint64) << np.uint64(32), n)
+            both = around[np.minimum(np.searchsorted(around, own), len(around) - 1)] == own
+            filled = n > 0
+            shared = np.zeros(len(out), dtype=np.int64)
+            shared[filled] = np.add.reduceat(both, starts[filled], dtype=np.int64)
+            return out[shared >= need]
 
         def counted(one: int, other: int) -> tuple[np.ndarray, np.ndarray]:
             """Sizes of the stretches of `width` or more about a least shingle, and how many of each are around the other one."""
-            total = np.concatenate([[0], np.cumsum(np.isin(near[one], around[other]))])
-            at = min(int(c[one]), width - 1)
-            i, j = np.arange(at + 1)[:, None], np.arange(at + 1, len(total))[None]
-            wide = j - i >= width
-            return (j - i)[wide], (total[j] - total[i])[wide]
+            marked[near[begin[other] : begin[other + 1]]] = True
+            total = np.concatenate([[0], np.cumsum(marked[near[begin[one] : begin[one + 1]]])])
+            marked[near[begin[other] : begin[other + 1]]] = False
+            sizes, first, last = shapes(int(middle[one]), len(total))
+            return sizes, total[last] - total[first]
 
         def alike(b: int, a: int) -> bool:
             """Whether b has a stretch that is like the shortest one of a which shares as much."""
             size, shared = counted(b, a)
+            enough = (shared >= need) & ((100 + percent) * shared >= percent * (size + width))
+            size, shared = size[enough], shared[enough]
+            if not len(size):
+                return False
             least = np.full(2 * width, 4 * width)
             np.minimum.at(least, *counted(a, b)[::-1])
             least = np.minimum.accumulate(least[::-1])[::-1]
-            return bool((((100 + percent) * shared >= percent * (size + least[shared])) & (shared >= need)).any())
-
-        repeats = [len(x) < len(y) for x, y in zip(around, near, strict=True)]
-        sources, rows, key = np.flatnonzero(~asking), [], t.column("key")[0].as_py()
+            return bool(((100 + percent) * shared >= percent * (size + least[shared])).any())
+
+        # Each asking row goes through its key's sources of smaller documents after `after`, some at a time.
+        sources, rows = np.flatnonzero(gives), []
+        group = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
+        place = {}
+        for n, (k, d) in enumerate(zip(group[sources].tolist(), doc[sources].tolist(), strict=True)):
+            place.setdefault(k, ([], n))[0].append(d)
+        todo, nexts, ends = [], [], []
         for b in np.flatnonzero(asking).tolist():
-            where = sources[(doc[sources] < doc[b]) & (doc[sources] > after[b])]
-            where = where[((blocks[where] == blocks[b]) & (blocks[b] != 0)).any(axis=1)]
-            own, found = around[b], []
-            for at in range(0, len(where), 64):
-                part = where[at : at + 64]
-                every, sizes = np.concatenate([around[a] for a in part]), np.array([len(around[a]) for a in part])
-                both = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
-                for a in part[np.add.reduceat(both, np.cumsum(sizes) - sizes, dtype=np.int64) >= need].tolist():
-                    if (len(found) < most or doc[a] == found[-1]) and (repeats[b] or alike(b, a)):
-                        rows.append((key, doc[a], c[a], c[a], low[a], high[a], doc[b], h[b], max(low[b], c[b] - span), c[b], min(high[b], c[b] + span)))
-                        found += [doc[a]] * (doc[a] not in found[-1:])
-                if len(found) == most and doc[part[-1]] != found[-1]:
-                    break
+            docs, first = place.get(int(group[b]), ([], 0))
+            x, y = bisect.bisect_right(docs, after[b]), bisect.bisect_left(docs, doc[b])
+            if x < y:
+                todo.append(b)
+                nexts.append(first + x)
+                ends.append(first + y)
+        todo, nexts, ends = (np.array(x, dtype=np.int64) for x in (todo, nexts, ends))
+        found: dict[int, list[int]] = {}
+        while len(todo):
+            n = np.minimum(ends - nexts, AT_ONCE)
+            b, a = np.repeat(todo, n), sources[np.arange(n.sum()) + np.repeat(nexts - np.cumsum(n) + n, n)]
+            same = np.flatnonzero(((blocks[a] == blocks[b]) & (blocks[b] != 0)).any(axis=1))
+            b, a = b[same], a[same]
+            fit = np.concatenate([b[:0], *(at + sharing(b[at : at + PAIRS], a[at : at + PAIRS]) for at in range(0, len(b), PAIRS))])
+            for b, a in zip(b[fit].tolist(), a[fit].tolist(), strict=True):
+                own = found.setdefault(b, [])
+                if (len(own) < most or doc[a] == own[-1]) and (not single[b] or alike(b, a)):
+                    rows.append((key[b], doc[a], c[a], c[a], low[a], high[a], doc[b], h[b], max(low[b], c[b] - span), c[b], min(high[b], c[b] + span)))
+                    own += [doc[a]] * (doc[a] not in own[-1:])
+            nexts = nexts + n
+            goes = nexts < ends
+            full = [k for k, b in enumerate(todo.tolist()) if goes[k] and len(found.get(b, ())) == most and doc[sources[nexts[k]]] != found[b][-1]]
+            goes[full] = False
+            todo, nexts, ends = todo[goes], nexts[goes], ends[goes]
         return pa.table({n: pa.array([r[k] for r in rows], x) for k, (n, x) in enumerate(zip(names, types, strict=True))})
 
-    return every.unionByName(asks).groupBy("key", "i", "j").applyInArrow(compare, out)
+    columns = [*members.columns, "cell", "i", "j", "asks", "gives"]
+    return alone.unionByName(every.select(*columns)).unionByName(asks.select(*columns)).groupBy("cell", "i", "j").applyInArrow(compare, out)
 
 
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE, percent: int = PERCENT) -> DataFrame:
@@ -389,25 +515,32 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, percent: int = PE
     shared = written(found.groupBy("key").agg(F.sum(F.col("first").cast("int")).alias("_n")).filter("_n > 1").select("key"), "shared")
     rows = among(found.drop("first"), shared, "key", "rows")
     forget(found, shared)
-    block = [F.shiftrightunsigned("blocks", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(len(BLOCKS))]
-    each = rows.withColumn("bucket", F.explode(F.array_compact(F.array(*[F.when(b != 0, F.xxhash64("key", F.lit(k), b)) for k, b in enumerate(block)]))))
-    first = each.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("_last")).filter("a < _last").select("bucket", "a")
-    first = written(first, "first")
-    near = among(each, first, "bucket", "near")
-    forget(rows, first)
-    reach = near.filter("doc_id = a").groupBy("bucket").agg(*[f(x).alias(n) for f, x, n in ((F.min, "l", "la"), (F.min, "c", "ca_low"), (F.max, "c", "ca_high"), (F.max, "r", "ra"))])
-    reach = written(reach, "reach")
-    met = near.filter("doc_id <> a").select("bucket", "a", F.col("doc_id").alias("b"), "h", F.col("l").alias("lb"), "c", F.col("r").alias("rb")).join(by_size(reach), "bucket")
-    passages = _verified(_anchored(met).filter(F.col("n") >= AGREE).drop("n"), texts, width, percent)
-    forget(reach)
-
-    known = written(_explained(near, passages), "known")
-    left = written(near.filter("doc_id <> a").join(by_size(known), ["doc_id", "c"], "left_anti").select("bucket").distinct(), "left")
+    # A bucket is a key with one of the blocks beside it; those of one block have nothing to do with those of another.
+    nears, reaches, met = [], [], []
+    for k in range(len(BLOCKS)):
+        block = F.shiftrightunsigned("blocks", 16 * k).bitwiseAND(F.lit(0xFFFF))
+        each = rows.filter(block != 0).withColumn("bucket", F.xxhash64("key", F.lit(k), block))
+        first = each.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("_last")).filter("a < _last").select("bucket", "a")
+        first = written(first, "first")
+        near = among(each, first, "bucket", "near")
+        forget(first)
+        reach = near.filter("doc_id = a").groupBy("bucket").agg(*[f(x).alias(n) for f, x, n in ((F.min, "l", "la"), (F.min, "c", "ca_low"), (F.max, "c", "ca_high"), (F.max, "r", "ra"))])
+        reach = written(reach, "reach")
+        others = near.filter("doc_id <> a").select("bucket", "a", F.col("doc_id").alias("b"), "h", F.col("l").alias("lb"), "c", F.col("r").alias("rb"))
+        met += sliced(others, reach, "bucket")
+        nears.append(near)
+        reaches.append(reach)
+    forget(rows)
+    near = reduce(DataFrame.union, nears)
+    passages = _verified(_anchored(met).filter(F.bit_count("hs") >= AGREE), texts, width, percent)
+    forget(*reaches)
+
+    left = written(_unexplained(near.filter("doc_id <> a"), passages).select("bucket").distinct(), "left")
     if left.limit(1).count():
         members = written(near.join(by_size(left), "bucket", "left_semi").drop("bucket", "a").distinct(), "members")
-        passages = written(passages.union(_among(members, known, texts, width, percent)), "passages")
+        passages = written(passages.union(_among(members, passages, texts, width, percent)), "passages")
         forget(members)
-    forget(near, known, left)
+    forget(*nears, left)
     sources = written(copies.select(F.col("source_id").alias("doc_id")).distinct(), "sources")
     sizes = written(_shingles(texts.join(by_size(sources), "doc_id", "left_semi")).select(F.col("id").alias("source_id"), "n_words").distinct(), "sizes")
     whole = copies.join(by_size(sizes), "source_id").filter(F.col("n_words") >= passage)
@@ -416,8 +549,8 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, percent: int = PE
     return passages.dropDuplicates(["doc_id", "start", "end", "source_id"]).union(whole)
 
 
-def _among(members: DataFrame, known: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Passages of members (key, doc_id, h, l, c, r, blocks) that no passage explains so far, by what surrounds their least shingles."""
+def _among(members: DataFrame, explaining: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Passages of members (key, doc_id, h, l, c, r, blocks) that the passages so far don't explain, by what surrounds their least shingles."""
     place = ["key", "doc_id", "c"]
     ids = written(members.select("doc_id").distinct(), "ids")
     shingles = written(_shingles(texts.join(by_size(ids), "doc_id", "left_semi")).select(F.col("id").alias("doc_id"), "hashes"), "shingles")
@@ -425,7 +558,7 @@ def _among(members: DataFrame, known: DataFrame, texts: DataFrame, width: int, p
     around = F.substring(F.col("hashes"), 1 + KEPT * low, KEPT * (F.col("c") + width - low)).alias("around")
     around = written(members.join(shingles, "doc_id").select(*members.columns, around), "around")
     forget(ids, shingles)
-    asking = written(members.select(*place).distinct().join(by_size(known), ["doc_id", "c"], "left_anti").select(*place, F.lit(-1 << 63).cast("long").alias("after")), "asking")
+    asking = written(_unexplained(members.select(*place).distinct(), explaining).select(*place, F.lit(-1 << 63).cast("long").alias("after")), "asking")
     most, passages = 1, None
     while True:
         keys = written(asking.select("key").distinct(), "keys")
@@ -433,11 +566,13 @@ def _among(members: DataFrame, known: DataFrame, texts: DataFrame, width: int, p
         hits = written(_sources(state, width, percent, most), "hits")
         forget(keys)
         if passages is not None and not hits.limit(1).count():
+            forget(around, asking, hits)
             return passages
-        got = _verified(_anchored(hits).drop("n"), texts, width, percent)
+        got = _verified(_anchored([hits]), texts, width, percent)
         passages = got if passages is None else written(passages.union(got), "passages")
         last = hits.groupBy("key", F.col("b").alias("doc_id"), "c").agg(F.max("a").alias("after"))
-        asking = written(last.join(by_size(written(_explained(last, got), "known")), ["doc_id", "c"], "left_anti"), "asking")
+        forget(asking)
+        asking = written(_unexplained(last, got), "asking")
         forget(hits)
         most *= 4
 

@@ -182,3 +182,44 @@ def test_sentences_in_another_order():
         one, two = (substring_dedup.shingled(np.concatenate([rng.integers(0, 1 << 63, 30, dtype=np.uint64), x, rng.integers(0, 1 << 63, 30, dtype=np.uint64)]), 5) for x in (passage, np.concatenate([passage[swap:], passage[:swap]])))
         got = substring_dedup.matched(one, two, np.array([(0, 0, len(one) - 1, 0, len(two) - 1)]), 46, 80)
         assert {w for s, e, *_ in got for w in range(s, e)} >= set(range(31, 113))
+
+
+def test_a_text_of_few_lines_is_held_against_its_source_in_few_steps(monkeypatch):
+    """A source's lines again and again, in any order, with words between: thousands of runs, and no passage."""
+    rng = np.random.default_rng(21)
+    lines = [rng.integers(0, 1 << 63, 9, dtype=np.uint64) for _ in range(12)]
+    source = np.concatenate([np.concatenate([x, rng.integers(0, 1 << 63, 6, dtype=np.uint64)]) for x in lines])
+    text = np.concatenate([np.concatenate([lines[k], rng.integers(0, 1 << 63, 2, dtype=np.uint64)]) for k in rng.integers(0, 12, 2000)])
+    asked, real = [], substring_dedup._alikeness
+
+    def counted(one, two):
+        made = real(one, two)
+        alike, *rest = made if isinstance(made, tuple) else (made,)
+        count = lambda *at: asked.append(at) or alike(*at)
+        return (count, *rest) if rest else count
+
+    monkeypatch.setattr(substring_dedup, "_alikeness", counted)
+    one, two = (substring_dedup.shingled(x, 5) for x in (source, text))
+    assert not substring_dedup.stretches(one, two, 46, 80)
+    assert len(asked) < 5000
+
+
+def test_small_buckets_are_compared_together(spark, monkeypatch):
+    """Lines that two documents each share, and no passage: one task takes many of their keys."""
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    rng = random.Random(17)
+    text = lambda n: [f"w{rng.randrange(90000)}" for _ in range(n)]
+    texts, cells, real = [], [], PandasGroupedOpsMixin.applyInArrow
+
+    def seen(self, func, schema):
+        cells.append(self.count().count())
+        return real(self, func, schema)
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInArrow", seen)
+    for n in range(200):
+        line = text(40)
+        texts += [(n, " ".join(text(60) + line + text(60))), (n + 500, " ".join(text(60) + line + text(60)))]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert not got
+    assert cells and cells[0] <= 4
