@@ -5,13 +5,12 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltbed.llm.common import small_batches, text_or_empty
+from siltbed.llm.common import looked_up, small_batches, text_or_empty, uncollected
 
 #: A cached word has at most so many bytes, a worker's cache so many words.
 WORD_BYTES, CACHE_WORDS = 48, 500_000
@@ -146,16 +145,20 @@ def encode_texts(texts: list[str], v: Vocabulary) -> list[bytes]:
     split = [v.find(t) for t in texts]
     if len(known) > CACHE_WORDS:
         known.clear()
-    new = list(set(filterfalse(known.__contains__, chain.from_iterable(split))))
-    raw = [w.encode() for w in new]
-    fresh: dict[str, bytes] = {}
-    ids, to = _replayed(raw, v)
-    packed, to = ids.astype("<u4").tobytes(), (4 * to).tolist()
-    for w, b, x, y in zip(new, raw, to, to[1:], strict=False):
-        (known if len(b) <= WORD_BYTES else fresh)[w] = packed[x:y]
-    if not fresh:
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-    return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in split]
+
+    def learn(words: set[str]) -> dict[str, bytes]:
+        new = list(words)
+        raw = [w.encode() for w in new]
+        fresh: dict[str, bytes] = {}
+        ids, to = _replayed(raw, v)
+        packed, to = ids.astype("<u4").tobytes(), (4 * to).tolist()
+        for w, b, x, y in zip(new, raw, to, to[1:], strict=False):
+            fresh[w] = packed[x:y]
+            if len(b) <= WORD_BYTES:
+                known[w] = fresh[w]
+        return fresh
+
+    return looked_up(split, known, learn)
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -165,7 +168,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(ranks, pattern)
         for b in batches:
-            ids = encode_texts(b.column(1).to_pylist(), v)
+            with uncollected():
+                ids = encode_texts(b.column(1).to_pylist(), v)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids binary")

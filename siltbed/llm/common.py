@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import accumulate, chain, pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +37,31 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Python looks for no cycles meanwhile: with large caches a search takes long, and what a tokenizer makes has none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def looked_up(split: list[list[str]], known: dict[str, bytes], learn: Callable[[set[str]], dict[str, bytes]]) -> list[bytes]:
+    """Each list's words' bytes in a row, every word looked up once; learn() gives a dictionary with those of the words that `known` hasn't got."""
+    words = list(chain.from_iterable(split))
+    got = list(map(known.get, words))
+    lacking = [i for i, x in enumerate(got) if x is None]
+    new = [words[i] for i in lacking]
+    learned = learn(set(new))
+    for i, w in zip(lacking, new, strict=True):
+        got[i] = learned[w]
+    ends = list(accumulate(map(len, split), initial=0))
+    return [b"".join(got[x:y]) for x, y in pairwise(ends)]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where it is unset, a temporary one, on a single machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
