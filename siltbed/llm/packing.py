@@ -7,7 +7,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 from unicodedata import is_normalized
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import gapless_rank, small_batches, text_or_empty, written
+from siltbed.llm.common import gapless_rank, looked_up, small_batches, text_or_empty, uncollected, written
 
 #: A worker's cache is emptied beyond so many chunks; longer chunks stay in it for one batch only.
 CACHE_CHUNKS, CHUNK_CHARS = 500_000, 48
@@ -104,10 +103,14 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     if len(chunks.known) > CACHE_CHUNKS:
         chunks.known.clear()
     known = chunks.known
-    new = set(filterfalse(known.__contains__, chain.from_iterable(split)))
-    long = [c for c in new if len(c) > CHUNK_CHARS]
-    chunks.learn(new)
-    out = [b"".join(map(known.__getitem__, parts)) for parts in split]
+    long: list[str] = []
+
+    def learn(new: set[str]) -> dict[str, bytes]:
+        long.extend([c for c in new if len(c) > CHUNK_CHARS])
+        chunks.learn(new)
+        return known
+
+    out = looked_up(split, known, learn)
     for c in long:
         del known[c]
     return out
@@ -130,7 +133,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int
         step = capacity * 4
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, ids in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist(), tokenizer), strict=True):
+            with uncollected():
+                encoded = encode_texts(batch.column(1).to_pylist(), tokenizer)
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]

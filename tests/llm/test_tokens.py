@@ -2,11 +2,13 @@
 
 import base64
 import collections
+import gc
 import hashlib
 import random
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -161,3 +163,50 @@ def test_pairs_of_bytes_are_found_together(library):
     words = [b"thershndx", "größerenthe".encode(), b""]
     assert byte_bpe.replay(words, v) == [library.encode_ordinary(w.decode()) if w else [] for w in words]
     assert asked < sum(map(len, words)) * 2
+
+
+@pytest.mark.parametrize("module", [packing, byte_bpe])
+def test_a_word_of_the_cache_is_looked_up_once(module):
+    asked = []
+
+    class Counted(dict):
+        def get(self, k, *a):
+            asked.append(k)
+            return super().get(k, *a)
+
+        def __getitem__(self, k):
+            asked.append(k)
+            return super().__getitem__(k)
+
+        def __contains__(self, k):
+            asked.append(k)
+            return super().__contains__(k)
+
+    texts = ["the same words the same words", "", "more of the same"]
+    if module is packing:
+        packing.encode_texts(texts, WORDS)
+        own, encode = packing._chunks[WORDS], lambda: packing.encode_texts(texts, WORDS)
+    else:
+        own = byte_bpe.Vocabulary(RANKS, public_tokenizers.PATTERN)
+        encode = lambda: byte_bpe.encode_texts(texts, own)
+    want = encode()
+    own.known = Counted(own.known)
+    asked.clear()
+    assert encode() == want
+    assert len(asked) <= sum(len(t.split()) for t in texts) + 1
+
+
+@pytest.mark.parametrize("module", [packing, byte_bpe])
+def test_encoding_looks_for_no_cycles(spark, monkeypatch, module):
+    """A worker's encoding runs with the collector off, and leaves it on."""
+    seen, real = [], module.encode_texts
+    monkeypatch.setattr(module, "encode_texts", lambda *a: seen.append(gc.isenabled()) or real(*a))
+
+    docs, ran = spark.createDataFrame([(1, "some text")], "doc_id long, text string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: ran.append(f))
+    if module is packing:
+        packing.pieces(docs, WORDS)
+    else:
+        byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    assert list(ran[0](iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some text"])], names=["doc_id", "text"])])))
+    assert seen == [False] and gc.isenabled()
