@@ -10,12 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltbed.llm.common import looked_up, small_batches, text_or_empty, uncollected
+from siltbed.llm.common import cache, looked_up, small_batches, text_or_empty, uncollected
 
 #: A cached word has at most so many bytes, a worker's cache so many words.
 WORD_BYTES, CACHE_WORDS = 48, 500_000
 
-_vocabularies: dict = {}
+_vocabularies: dict = cache()
 
 
 class Vocabulary:

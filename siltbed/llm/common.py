@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from itertools import accumulate, chain, pairwise
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,33 @@ def uncollected() -> Iterator[None]:
             gc.enable()
 
 
+#: What operators have cached in this process, by cache().
+_caches: list[dict] = []
+
+
+def cache() -> dict:
+    """An empty dictionary that release() empties again."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def release() -> None:
+    """Empties what other operators have cached in this process and gives the memory back to the system.
+
+    A Python worker goes on from one operator to the next; those that cache nothing themselves call this as they begin
+    a task, so that an executor doesn't hold a tokenizer and its words beside their data.
+    """
+    if not any(_caches):
+        return
+    for known in _caches:
+        known.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def looked_up(split: list[list[str]], known: dict[str, bytes], learn: Callable[[set[str]], dict[str, bytes]]) -> list[bytes]:
     """Each list's words' bytes in a row, every word looked up once; learn() gives a dictionary with those of the words that `known` hasn't got."""
     words = list(chain.from_iterable(split))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import by_size, forget, small_batches, text_or_empty, written
+from siltbed.llm.common import by_size, forget, release, small_batches, text_or_empty, written
 from siltbed.llm.shingles import hashed_words, mixed, shingled_rows
 
 #: 48 bands of 6 minima: a pair of similarity 0.8 shares no band once in two million pairs.
@@ -59,6 +59,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             sizes, keys, least, at = [], [], [], []
             hashes, to = shingled_rows(*hashed_words(b.column(1)), n)
@@ -88,6 +89,7 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             hashes, to = shingled_rows(*hashed_words(b.column(1)), n)
             sets = [np.unique(hashes[to[i] : to[i + 1]]).view(np.int64) for i in range(b.num_rows)]
@@ -219,6 +221,7 @@ def _likely(dealt: DataFrame, least: float) -> DataFrame:
     """Pairs that would join all members that seem alike: fewer than a tile has members."""
 
     def compare(t: pa.Table) -> pa.Table:
+        release()
         tile, out = _Tile(t, least), []
         for r, others in tile.candidates():
             for w in others.tolist():
@@ -233,6 +236,7 @@ def _open(dealt: DataFrame, least: float) -> DataFrame:
     """key, id of members that seem alike to one of another component."""
 
     def compare(t: pa.Table) -> pa.Table:
+        release()
         tile, out = _Tile(t, least), set()
         for r, others in tile.candidates():
             out.update((r, *others.tolist()))
@@ -249,6 +253,7 @@ def _confirmed_in_tiles(dealt: DataFrame, least: float, percent: int) -> DataFra
     """
 
     def compare(t: pa.Table) -> pa.Table:
+        release()
         tile, out = _Tile(t, least), []
         sets = t.column("set").combine_chunks()
         values, at = sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy()

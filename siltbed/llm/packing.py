@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import gapless_rank, looked_up, small_batches, text_or_empty, uncollected, written
+from siltbed.llm.common import cache, gapless_rank, looked_up, small_batches, text_or_empty, uncollected, written
 
 #: A worker's cache is emptied beyond so many chunks; longer chunks stay in it for one batch only.
 CACHE_CHUNKS, CHUNK_CHARS = 500_000, 48
 #: Chunks that one call encodes.
 TOGETHER = 2048
 
-_chunks: dict[str, Chunks] = {}
+_chunks: dict[str, Chunks] = cache()
 #: Marks whose run after letters is encoded by itself: no quotes and no "<", which begin tokens of their own.
 TAIL = ".,;:!?%#&*$"
 #: A chunk, between spaces, that folding leaves as it is.

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import small_batches, text_or_empty
+from siltbed.llm.common import release, small_batches, text_or_empty
 
 #: The kinds that always stay, in the order that breaks ties of start; then those that the score decides on.
 BASE = ("email", "ip", "card", "phone")
@@ -119,6 +119,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             spans = [[{"kind": KINDS[k], "start": s, "end": e, "score": x} for s, k, e, x in find(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, _SPANS)], names=["doc_id", "spans"])
@@ -141,6 +142,7 @@ def redact(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             texts = [t if t is None else redacted(t) for t in b.column(1).to_pylist()]
             yield b.set_column(1, "text", pa.array(texts, pa.string())).set_column(4, "n_chars", pa.array([None if t is None else len(t) for t in texts], pa.int64()))

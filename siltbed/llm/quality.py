@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import forget, small_batches, written
+from siltbed.llm.common import forget, release, small_batches, written
 
 #: Labelled rows that the views are fitted on at most, every FOLDth of which only calibrates.
 LABELLED, FOLD = 20_000, 4
@@ -84,6 +84,7 @@ def views(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         floats = pa.list_(pa.float64())
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
@@ -142,6 +143,7 @@ class CoTrained:
 
 def _scored(features: DataFrame, model: CoTrained) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             x, z = (np.array(b.column(i).to_pylist(), dtype=np.float64).reshape(b.num_rows, n) for i, n in ((1, CONTENT), (2, METADATA)))
             found = model.scores(x, z) if b.num_rows else ([], [], [])
@@ -232,6 +234,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             x = np.array([content(t) for t in texts], dtype=np.float64).reshape(len(texts), CONTENT)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import among, by_size, forget, sliced, small_batches, text_or_empty, written, written_parts
+from siltbed.llm.common import among, by_size, forget, release, sliced, small_batches, text_or_empty, written, written_parts
 from siltbed.llm.shingles import hashed_words, mixed, shingled, shingled_rows
 
 #: Words of a shingle and of the shortest passage; hash functions, and how many have to agree on a passage.
@@ -80,6 +80,7 @@ def windows(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     types = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int32()), ("l", pa.int32()), ("c", pa.int32()), ("r", pa.int32()), ("blocks", pa.int64()), ("first", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             of_words, at = hashed_words(b.column(1))
             own, to = shingled_rows(of_words, at, SHINGLE)
@@ -305,6 +306,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
         both = both.join(shingles.select(F.col("id").alias(c), "hashes"), c).select(*both.columns, part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
         names = [x.split()[0] for x in FOUND.split(", ")]
         for batch in batches:
@@ -380,6 +382,7 @@ def _sources(members: DataFrame, width: int, percent: int, most: int) -> DataFra
     known: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def compare(t: pa.Table) -> pa.Table:
+        release()
         t = t.sort_by([("key", "ascending"), ("doc_id", "ascending"), ("c", "ascending")]).combine_chunks()
         key, doc, h, low, c, high, asking, gives = (t.column(x).to_numpy() for x in ("key", "doc_id", "h", "l", "c", "r", "asks", "gives"))
         after = t.column("after").fill_null(-1 << 63).to_numpy()
@@ -591,6 +594,7 @@ def _shingles(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             of_words, at = hashed_words(b.column(1))
             found, to = shingled_rows(of_words, at, SHINGLE)
@@ -634,6 +638,7 @@ def remove_repeated(docs: DataFrame, passage: int = PASSAGE, percent: int = PERC
     cols = [F.col(c).cast(t).alias(c) for c, t in (x.split() for x in types.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             texts, n = b.column(1).to_pylist(), b.column(4).to_pylist()
             for i, own in enumerate(b.column(5).to_pylist()):
