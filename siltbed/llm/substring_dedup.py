@@ -127,20 +127,19 @@ def stretches(one: np.ndarray, two: np.ndarray, width: int, percent: int) -> lis
     whole is alike; those that lie in another are left out. One that is shorter than `width` on either side is filled up
     with its neighbours on both, if it is alike with them.
     """
-    found = _common(one, two)
+    found, stands = _common(one, two)
     if not len(found):
         return []
     starts, froms, size = found.T
     ends, tos = starts + size, froms + size
     if len(found) == 1 and size[0] >= width:
         return [(int(starts[0]), int(ends[0]), int(froms[0]), int(tos[0]), 1.0)]
-    stands = np.isin(two, one)
     hits = np.concatenate([[0], np.cumsum(stands)])
     upto = np.maximum.accumulate(np.concatenate([[0], ends]))
     lows, highs = np.where(size >= HULL, froms, len(one)), np.where(size >= HULL, tos, 0)
     joint = np.cumsum(np.maximum(0, ends - np.maximum(starts, upto[:-1])))  # places of two in runs so far
     out: list[tuple[int, int, int, int, float]] = []
-    alike, earlier_two = _alikeness(one, two)
+    alike, at_most, earlier_two = _alikeness(one, two)
     short, reach, filled = [], 0, {}
 
     def fill(s: int, e: int, x: int, y: int, more: int) -> tuple[int, float] | None:
@@ -154,38 +153,51 @@ def stretches(one: np.ndarray, two: np.ndarray, width: int, percent: int) -> lis
             missing = np.concatenate([[0], np.cumsum(~stands[start : e + more] & (earlier_two[start : e + more] < start))])
             most = hits[start + high] - hits[start + low]
             left = left[100 * most >= percent * (most + missing[high] - missing[low])]
+        if len(left) > FEW:
+            left = left[100 * at_most(s - left, e + more - left, x - left, y + more - left) >= percent]
         for k in left.tolist():
             like = alike(s - k, e + more - k, x - k, y + more - k)
             if 100 * like >= percent:
                 return k, like
         return None
 
-    for i, (s, x) in enumerate(zip(starts.tolist(), froms.tolist(), strict=True)):
+    def proposed(i: int, rows: int) -> Iterator[list[tuple[int, int, int, int]]]:
+        """For each of the `rows` runs from i on the stretches that begin with it and may be alike, by their ends, last first."""
+        own, later = np.arange(i, i + rows)[:, None], np.arange(i, len(found))
+        begun = later >= own
+        fits = begun & (ends[later] >= ends[own])
         # In one the runs stand in the same order, or anyhow between the first and the last of them.
-        fits = (ends[i:] > reach) & (ends[i:] >= ends[i])
-        low, high = np.minimum.accumulate(np.minimum(x, lows[i:])), np.maximum.accumulate(np.maximum(tos[i], highs[i:]))
-        n, shared = ends[i:] - s + tos[i:] - x, joint[i:] - joint[i] + size[i]
-        chained = fits & (froms[i:] >= x) & (tos[i:] >= tos[i]) & (100 * shared >= (percent - MARGIN) * (n - shared))
-        n, shared = ends[i:] - s + high - low, hits[ends[i:]] - hits[s]
-        within = fits & (size[i:] >= HULL) & ((low < x) | (high > tos[i:])) & (100 * shared >= percent * (n - shared))
-        own, beside = np.flatnonzero(chained), np.flatnonzero(within)
-        if not len(own) + len(beside):
-            continue
-        e, y = np.concatenate([ends[i:][own], ends[i:][beside]]), np.concatenate([tos[i:][own], high[beside]])
-        back = np.concatenate([np.full(len(own), x), low[beside]])
-        order = np.argsort(-e, kind="stable")
-        e, back, y = e[order], back[order], y[order]
-        small = np.flatnonzero(np.minimum(e - s, y - back) < width)[:1]
-        upto_small = int(small[0]) if len(small) else len(e)
-        for k in range(upto_small):
-            at = (s, int(e[k]), int(back[k]), int(y[k]))
-            like = alike(*at)
-            if 100 * like >= percent:
-                out.append((*at, like))
-                reach = at[1]
-                break
-        else:
-            short += [(s, int(e[k]), int(back[k]), int(y[k])) for k in small]
+        low = np.minimum.accumulate(np.where(begun, np.minimum(froms[own], lows[later]), froms[own]), axis=1)
+        high = np.maximum.accumulate(np.where(begun, np.maximum(tos[own], highs[later]), tos[own]), axis=1)
+        n, shared = ends[later] - starts[own] + tos[later] - froms[own], joint[later] - joint[own] + size[own]
+        chained = fits & (froms[later] >= froms[own]) & (tos[later] >= tos[own]) & (100 * shared >= (percent - MARGIN) * (n - shared))
+        n, shared = ends[later] - starts[own] + high - low, hits[ends[later]] - hits[starts[own]]
+        within = fits & (size[later] >= HULL) & ((low < froms[own]) | (high > tos[later])) & (100 * shared >= percent * (n - shared))
+        (one_row, one_at), (other_row, other_at) = np.nonzero(chained), np.nonzero(within)
+        row, at = np.concatenate([one_row, other_row]), np.concatenate([one_at, other_at]) + i
+        back, y = np.concatenate([froms[one_row + i], low[other_row, other_at]]), np.concatenate([tos[one_at + i], high[other_row, other_at]])
+        order = np.lexsort((-ends[at], row))
+        each = list(zip(*(v[order].tolist() for v in (starts[row + i], ends[at], back, y)), strict=True))
+        bounds = np.searchsorted(row[order], np.arange(rows + 1)).tolist()
+        for k in range(rows):
+            yield each[bounds[k] : bounds[k + 1]]
+
+    i = 0
+    while i < len(found):
+        rows = min(len(found) - i, max(1, CELLS // (len(found) - i)))
+        for stretch in proposed(i, rows):
+            for s, e, x, y in stretch:
+                if e <= reach:
+                    break
+                if min(e - s, y - x) < width:
+                    short.append((s, e, x, y))
+                    break
+                like = alike(s, e, x, y)
+                if 100 * like >= percent:
+                    out.append((s, e, x, y, like))
+                    reach = e
+                    break
+        i += rows
     for s, e, x, y in short:
         if any(o[0] <= s and e <= o[1] for o in out):
             continue
@@ -201,7 +213,11 @@ def stretches(one: np.ndarray, two: np.ndarray, width: int, percent: int) -> lis
 
 
 def _alikeness(one: np.ndarray, two: np.ndarray):
-    """A function of (s, e, x, y), the similarity of two[s:e] and one[x:y] as sets; and for each place of two the one before it with the same value."""
+    """Two functions of (s, e, x, y), and for each place of two the one before it with the same value.
+
+    The first gives the similarity of two[s:e] and one[x:y] as sets; the second, of arrays whose stretches are of one
+    length on either side and lie together, what it is at most: anything that stands in any of the others counts as shared.
+    """
     ids = np.unique(np.concatenate([one, two]), return_inverse=True)[1]
     one, two = ids[: len(one)], ids[len(one) :]
     earlier_one, earlier_two = _before(one), _before(two)
@@ -216,7 +232,21 @@ def _alikeness(one: np.ndarray, two: np.ndarray):
         # Both sums are whole numbers, so the quotient is right at the threshold.
         return shared / (int(np.count_nonzero(new)) + int(np.count_nonzero(earlier_one[x:y] < x)) - shared)
 
-    return alike, earlier_two
+    def at_most(s: np.ndarray, e: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        s_low, x_low = s.min(), x.min()
+        near_two, near_one = two[s_low : e.max()], one[x_low : y.max()]
+        marked[near_one] = True
+        in_one = marked[near_two]
+        marked[near_one] = False
+        marked[near_two] = True
+        in_two = marked[near_one]
+        marked[near_two] = False
+        of_two, of_one = s[:, None] + np.arange(e[0] - s[0]), x[:, None] + np.arange(y[0] - x[0])
+        new_two, new_one = earlier_two[of_two] < s[:, None], earlier_one[of_one] < x[:, None]
+        shared = np.minimum((new_two & in_one[of_two - s_low]).sum(axis=1), (new_one & in_two[of_one - x_low]).sum(axis=1))
+        return shared / (new_two.sum(axis=1) + new_one.sum(axis=1) - shared)
+
+    return alike, at_most, earlier_two
 
 
 def _before(values: np.ndarray) -> np.ndarray:
@@ -228,23 +258,24 @@ def _before(values: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Shingles of a run that is looked up as a whole, and of one that counts where runs stand in another order; hundredths by which runs alone may seem less alike than all shingles.
-RUN, HULL, MARGIN = 16, 8, 3
+#: Shingles of a run that is looked up as a whole, and of one that counts where runs stand in another order; hundredths by which runs alone may seem less alike than all shingles; stretches that are compared one by one without a bound for all, and pairs of runs that are looked at together.
+RUN, HULL, MARGIN, FEW, CELLS = 16, 8, 3, 3, 1 << 13
 
 
-def _common(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Rows (start in two, start in one, length) of runs that stand in both, by their start in two.
+def _common(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (start in two, start in one, length) of runs that stand in both, by their start in two; and which places of two stand in one.
 
     A run of RUN or more is found where it first stands in one, and followed to both its ends; what is shorter is found
     nearest to where the last run would go on.
     """
     n = len(two)
     if not n or not len(one):
-        return np.empty((0, 3), dtype=np.int64)
+        return np.empty((0, 3), dtype=np.int64), np.zeros(n, dtype=bool)
     order = np.argsort(one, kind="stable")
     values = one[order]
     low, high = np.searchsorted(values, two), np.searchsorted(values, two, side="right")
-    hit = np.flatnonzero(high > low)
+    stands = high > low
+    hit = np.flatnonzero(stands)
     long_at = np.full(n, -1, dtype=np.int64)
     if min(n, len(one)) >= RUN:
         rolled, first = np.unique(_runs(one), return_index=True)
@@ -256,7 +287,7 @@ def _common(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     while True:
         k = int(np.searchsorted(hit, i))
         if k == len(hit):
-            return np.array(sorted(set(out)), dtype=np.int64).reshape(-1, 3)
+            return np.array(sorted(set(out)), dtype=np.int64).reshape(-1, 3), stands
         i = int(hit[k])
         x, back = int(long_at[i]), 0
         if x < 0:

@@ -223,3 +223,42 @@ def test_small_buckets_are_compared_together(spark, monkeypatch):
     got = substring_dedup.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert not got
     assert cells and cells[0] <= 4
+
+
+def _dealt_lines(rng, lines: int, size: int, between: int):
+    """Shingles of a source of lines, and of a text of the same lines in another order with new words between."""
+    own = [rng.integers(0, 1 << 63, size, dtype=np.uint64) for _ in range(lines)]
+    new = lambda: rng.integers(0, 1 << 63, between, dtype=np.uint64)
+    return [substring_dedup.shingled(np.concatenate([x for k in order for x in (own[k], new())]), 5) for order in (np.arange(lines), rng.permutation(lines))]
+
+
+def test_lines_in_another_order_are_not_filled_up_one_by_one(monkeypatch):
+    """Nearly all of the text stands in the source, but beside no line what stands beside it there."""
+    one, two = _dealt_lines(np.random.default_rng(5), 150, 40, 1)
+    asked, real = [], substring_dedup._alikeness
+
+    def counted(*texts):
+        alike, *rest = real(*texts)
+        return (lambda *at: asked.append(at) or alike(*at), *rest)
+
+    monkeypatch.setattr(substring_dedup, "_alikeness", counted)
+    substring_dedup.stretches(one, two, 46, 80)
+    filled_up = [at for at in asked if min(at[1] - at[0], at[3] - at[2]) == 46]
+    assert len(filled_up) < 150
+
+
+def test_stretches_are_the_same_however_many_are_looked_at_together(monkeypatch):
+    rng = np.random.default_rng(6)
+    found = 0
+    for n in range(60):
+        one, two = _dealt_lines(rng, 12, int(rng.integers(8, 60)), int(rng.integers(0, 4)))
+        if n % 2:
+            two = np.concatenate([two, one[100:300], two[:50], one[120:200]])
+            two = np.where(rng.random(len(two)) < 0.02, rng.integers(0, 1 << 63, len(two), dtype=np.uint64), two)
+        together = substring_dedup.stretches(one, two, 46, 80)
+        with monkeypatch.context() as m:
+            m.setattr(substring_dedup, "FEW", 1 << 30)
+            m.setattr(substring_dedup, "CELLS", 1)
+            assert together == substring_dedup.stretches(one, two, 46, 80)
+        found += len(together)
+    assert found > 60
