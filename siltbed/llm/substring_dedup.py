@@ -125,7 +125,7 @@ def stretches(one: np.ndarray, two: np.ndarray, width: int, percent: int) -> lis
 
     A stretch runs from the first to the last of some runs that the two have in common, over any gaps, as long as the
     whole is alike; those that lie in another are left out. One that is shorter than `width` on either side is filled up
-    with its neighbours on both, if it is alike with them.
+    with its neighbours on both, if it is alike with them. Runs that no alike stretch can hold begin none.
     """
     found, stands = _common(one, two)
     if not len(found):
@@ -134,12 +134,18 @@ def stretches(one: np.ndarray, two: np.ndarray, width: int, percent: int) -> lis
     ends, tos = starts + size, froms + size
     if len(found) == 1 and size[0] >= width:
         return [(int(starts[0]), int(ends[0]), int(froms[0]), int(tos[0]), 1.0)]
+    alike, at_most, earlier_two, earlier_one, stands_one = _alikeness(one, two)
+    most = int(np.count_nonzero(stands & (earlier_two < 0)))
+    begins = np.flatnonzero(_hopeful(stands, earlier_two, most, width, percent)[starts])
+    if len(begins):
+        begins = begins[_hopeful(stands_one, earlier_one, most, width, percent)[froms[begins]]]
+    if not len(begins):
+        return []
     hits = np.concatenate([[0], np.cumsum(stands)])
     upto = np.maximum.accumulate(np.concatenate([[0], ends]))
     lows, highs = np.where(size >= HULL, froms, len(one)), np.where(size >= HULL, tos, 0)
     joint = np.cumsum(np.maximum(0, ends - np.maximum(starts, upto[:-1])))  # places of two in runs so far
     out: list[tuple[int, int, int, int, float]] = []
-    alike, at_most, earlier_two = _alikeness(one, two)
     short, reach, filled = [], 0, {}
 
     def fill(s: int, e: int, x: int, y: int, more: int) -> tuple[int, float] | None:
@@ -161,9 +167,10 @@ def stretches(one: np.ndarray, two: np.ndarray, width: int, percent: int) -> lis
                 return k, like
         return None
 
-    def proposed(i: int, rows: int) -> Iterator[list[tuple[int, int, int, int]]]:
-        """For each of the `rows` runs from i on the stretches that begin with it and may be alike, by their ends, last first."""
-        own, later = np.arange(i, i + rows)[:, None], np.arange(i, len(found))
+    def proposed(own: np.ndarray) -> Iterator[list[tuple[int, int, int, int]]]:
+        """For each of the runs `own` the stretches that begin with it and may be alike, by their ends, last first."""
+        rows, i = len(own), int(own[0])
+        own, later = own[:, None], np.arange(i, len(found))
         begun = later >= own
         fits = begun & (ends[later] >= ends[own])
         # In one the runs stand in the same order, or anyhow between the first and the last of them.
@@ -175,17 +182,17 @@ def stretches(one: np.ndarray, two: np.ndarray, width: int, percent: int) -> lis
         within = fits & (size[later] >= HULL) & ((low < froms[own]) | (high > tos[later])) & (100 * shared >= percent * (n - shared))
         (one_row, one_at), (other_row, other_at) = np.nonzero(chained), np.nonzero(within)
         row, at = np.concatenate([one_row, other_row]), np.concatenate([one_at, other_at]) + i
-        back, y = np.concatenate([froms[one_row + i], low[other_row, other_at]]), np.concatenate([tos[one_at + i], high[other_row, other_at]])
+        back, y = np.concatenate([froms[own[one_row, 0]], low[other_row, other_at]]), np.concatenate([tos[one_at + i], high[other_row, other_at]])
         order = np.lexsort((-ends[at], row))
-        each = list(zip(*(v[order].tolist() for v in (starts[row + i], ends[at], back, y)), strict=True))
+        each = list(zip(*(v[order].tolist() for v in (starts[own[row, 0]], ends[at], back, y)), strict=True))
         bounds = np.searchsorted(row[order], np.arange(rows + 1)).tolist()
         for k in range(rows):
             yield each[bounds[k] : bounds[k + 1]]
 
     i = 0
-    while i < len(found):
-        rows = min(len(found) - i, max(1, CELLS // (len(found) - i)))
-        for stretch in proposed(i, rows):
+    while i < len(begins):
+        rows = max(1, CELLS // (len(found) - int(begins[i])))
+        for stretch in proposed(begins[i : i + rows]):
             for s, e, x, y in stretch:
                 if e <= reach:
                     break
@@ -212,8 +219,31 @@ def stretches(one: np.ndarray, two: np.ndarray, width: int, percent: int) -> lis
     return out
 
 
+def _hopeful(stands: np.ndarray, earlier: np.ndarray, most: int, width: int, percent: int) -> np.ndarray:
+    """Which places lie in a stretch of `width` or more that may be alike to something in the other text; none that does is left out.
+
+    stands: which places' values the other text has; earlier: as of _before(); most: how many different values both have.
+    A stretch lacks the values that any `width` places in it lack, and shares `most` at best; and those that stand for the
+    first time count for it in any case.
+    """
+    n = len(stands)
+    if n < width:
+        return np.zeros(n, dtype=bool)
+    place = np.arange(n)
+    lacking = np.flatnonzero(~stands)
+    since = np.maximum(earlier[lacking], lacking - width) + 1
+    missing = np.cumsum(np.bincount(since, minlength=n + 1) - np.bincount(lacking + 1, minlength=n + 1))[: n - width + 1]
+    good = np.flatnonzero(percent * (most + missing) <= 100 * most)
+    near = np.zeros(n, dtype=np.int64)
+    near[good] = good + width
+    upto = np.concatenate([[0], np.cumsum(np.where(stands, 100 - percent, np.where(earlier < 0, -percent, 0)))])
+    last = np.searchsorted(-np.maximum.accumulate(upto[::-1])[::-1], -upto[:-1], side="right") - 1
+    far = np.where(last - place >= width, last, 0)
+    return (np.maximum.accumulate(near) > place) & (np.maximum.accumulate(far) > place)
+
+
 def _alikeness(one: np.ndarray, two: np.ndarray):
-    """Two functions of (s, e, x, y), and for each place of two the one before it with the same value.
+    """Two functions of (s, e, x, y); for each place of two, and of one, the place before it with the same value; and which of one stand in two.
 
     The first gives the similarity of two[s:e] and one[x:y] as sets; the second, of arrays whose stretches are of one
     length on either side and lie together, what it is at most: anything that stands in any of the others counts as shared.
@@ -246,7 +276,10 @@ def _alikeness(one: np.ndarray, two: np.ndarray):
         shared = np.minimum((new_two & in_one[of_two - s_low]).sum(axis=1), (new_one & in_two[of_one - x_low]).sum(axis=1))
         return shared / (new_two.sum(axis=1) + new_one.sum(axis=1) - shared)
 
-    return alike, at_most, earlier_two
+    marked[two] = True
+    stands_one = marked[one]
+    marked[two] = False
+    return alike, at_most, earlier_two, earlier_one, stands_one
 
 
 def _before(values: np.ndarray) -> np.ndarray:
@@ -273,42 +306,48 @@ def _common(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty((0, 3), dtype=np.int64), np.zeros(n, dtype=bool)
     order = np.argsort(one, kind="stable")
     values = one[order]
-    low, high = np.searchsorted(values, two), np.searchsorted(values, two, side="right")
-    stands = high > low
+    low = np.searchsorted(values, two)
+    stands = values[np.minimum(low, len(one) - 1)] == two
     hit = np.flatnonzero(stands)
+    high = np.searchsorted(values, two[hit], side="right")
     long_at = np.full(n, -1, dtype=np.int64)
-    if min(n, len(one)) >= RUN:
-        rolled, first = np.unique(_runs(one), return_index=True)
-        mine = _runs(two)
-        at = np.minimum(np.searchsorted(rolled, mine), len(rolled) - 1)
-        long_at[: len(mine)] = np.where(rolled[at] == mine, first[at], -1)
+    upto = np.concatenate([[0], np.cumsum(stands)])
+    whole = np.flatnonzero(upto[RUN:] - upto[:-RUN] == RUN) if min(n, len(one)) >= RUN else hit[:0]
+    if len(whole):
+        rolled = _runs(np.concatenate([one, two]))
+        own, mine = rolled[: len(one) - RUN + 1], rolled[len(one) :][whole]
+        first = np.argsort(own, kind="stable")
+        at = first[np.minimum(np.searchsorted(own, mine, sorter=first), len(own) - 1)]
+        long_at[whole] = np.where(own[at] == mine, at, -1)
     out: list[tuple[int, int, int]] = []
     i, shift, k = 0, 0, 0
     while True:
-        k = int(np.searchsorted(hit, i))
+        k = int(hit.searchsorted(i))
         if k == len(hit):
             return np.array(sorted(set(out)), dtype=np.int64).reshape(-1, 3), stands
         i = int(hit[k])
         x, back = int(long_at[i]), 0
         if x < 0:
-            places = order[low[i] : high[i]]
+            places = order[low[i] : high[k]]
             x = int(places[np.abs(places - (i + shift)).argmin()])
         else:
             m = min(i, x)
-            differ = np.flatnonzero(two[i - m : i][::-1] != one[x - m : x][::-1])
-            back = int(differ[0]) if len(differ) else m
+            back = _differs(two[i - m : i][::-1], one[x - m : x][::-1])
         m = min(n - i, len(one) - x)
         step = RUN
-        while True:
-            differ = np.flatnonzero(two[i : i + min(step, m)] != one[x : x + min(step, m)])
-            if len(differ) or step >= m:
-                break
+        while (on := _differs(two[i : i + min(step, m)], one[x : x + min(step, m)])) == step < m:
             step *= 4
-        on = int(differ[0]) if len(differ) else m
         out.append((i - back, x - back, on + back))
         i, shift = i + on, x - i
 
 
+def _differs(one: np.ndarray, two: np.ndarray) -> int:
+    """The first place at which they differ, or their length."""
+    differ = one != two
+    at = int(differ.argmax()) if len(differ) else 0
+    return at if len(differ) and differ[at] else len(differ)
+
+
 def _runs(h: np.ndarray) -> np.ndarray:
     """The hash of each RUN shingles that stand together, from those of half as many."""
     n = 1
@@ -379,6 +418,21 @@ def _unexplained(rows: DataFrame, passages: DataFrame) -> DataFrame:
     return rows.join(by_size(spans, SPAN_ROWS), "doc_id", "left").filter(~F.coalesce(within, F.lit(False))).select(*rows.columns)
 
 
+def most_hits(begin: np.ndarray, middle: np.ndarray, table: np.ndarray, bit: np.ndarray, one: np.ndarray, other: np.ndarray, width: int) -> np.ndarray:
+    """For each size of `width` to 2 * width - 1 (down) and each pair of rows (across), the most hits of a stretch up to that size.
+
+    A row one has the places begin[one] to begin[one + 1], at most `width` - 1 to either side of its place `middle`,
+    which its stretches hold; a place whose bit stands in the other row of `table` is a hit. No stretch of a size: less than 0.
+    """
+    # All middles stand beneath each other; a stretch that leaves its row has less than no hits.
+    at = np.arange(1 - width, width)[:, None] + middle[one]
+    inside = (at >= 0) & (at < begin[one + 1] - begin[one])
+    value = np.where(inside, table[other, bit[np.where(inside, at + begin[one], 0)]], -2 * width)
+    upto = np.concatenate([np.zeros((1, len(one)), dtype=np.int32), np.cumsum(value, axis=0, dtype=np.int32)])
+    sizes = range(width, 2 * width)
+    return np.maximum.accumulate([(upto[n:] - upto[: 2 * width - n])[:width].max(axis=0) for n in sizes], axis=0)
+
+
 def _sources(members: DataFrame, width: int, percent: int, most: int) -> DataFrame:
     """For each open member the first `most` documents, after `after`, that have much of what surrounds its least shingle.
 
@@ -444,6 +498,15 @@ def _sources(members: DataFrame, width: int, percent: int, most: int) -> DataFra
             most = np.maximum.reduceat(upto, np.stack([starts, starts + middle[one]], axis=1).ravel())[1::2]
             return most - least >= percent * width
 
+        def fitting(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+            """Whether alike() may hold, for all pairs together: by the most places of b's stretches of each size that have a bit of a's, and of a's."""
+            most_b, most_a = (most_hits(begin, middle, table, bit, *x, width) * (100 + percent) for x in ((b, a), (a, b)))
+            sizes = percent * (2 * width + np.arange(width, dtype=np.int32))[:, None]
+            out = np.zeros(len(b), dtype=bool)
+            for i in range(width):
+                out |= (np.minimum(most_b[i], most_a) >= sizes + percent * i).any(axis=0)
+            return out
+
         def sharing(b: np.ndarray, a: np.ndarray) -> np.ndarray:
             """Which of the rows b and a have `need` shingles in common, and may be alike: those whose bits leave room for both, counted."""
             room = np.bitwise_count(bits[b] & bits[a]).sum(axis=1, dtype=np.int64) + np.minimum(merged[b], merged[a])
@@ -460,7 +523,8 @@ def _sources(members: DataFrame, width: int, percent: int, most: int) -> DataFra
             filled = n > 0
             shared = np.zeros(len(out), dtype=np.int64)
             shared[filled] = np.add.reduceat(both, starts[filled], dtype=np.int64)
-            return out[shared >= need]
+            out = out[shared >= need]
+            return out[~single[b[out]] | fitting(b[out], a[out])]
 
         def counted(one: int, other: int) -> tuple[np.ndarray, np.ndarray]:
             """Sizes of the stretches of `width` or more about a least shingle, and how many of each are around the other one."""

@@ -262,3 +262,53 @@ def test_stretches_are_the_same_however_many_are_looked_at_together(monkeypatch)
             assert together == substring_dedup.stretches(one, two, 46, 80)
         found += len(together)
     assert found > 60
+
+
+def test_texts_that_can_hold_no_alike_stretch_are_not_searched(monkeypatch):
+    """A few shingles again and again, among as many that the source hasn't got: no stretch of them is compared."""
+    rng = np.random.default_rng(7)
+    known, other = rng.integers(0, 1 << 63, 40, dtype=np.uint64), rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    one = rng.choice(known, 130)
+    two = np.where(rng.random(1500) < 0.4, rng.choice(known, 1500), rng.choice(other, 1500))
+    asked, real = [], substring_dedup._alikeness
+
+    def counted(*texts):
+        alike, at_most, *rest = real(*texts)
+        return (lambda *at: asked.append(at) or alike(*at), lambda *at: asked.append(at) or at_most(*at), *rest)
+
+    monkeypatch.setattr(substring_dedup, "_alikeness", counted)
+    assert not substring_dedup.stretches(one, two, 46, 80)
+    assert not asked
+
+
+def test_stretches_are_the_same_if_every_run_may_begin_one(monkeypatch):
+    rng = np.random.default_rng(8)
+    found = 0
+    for n in range(200):
+        few = rng.integers(0, 1 << 63, int(rng.integers(20, 400)), dtype=np.uint64)
+        one = rng.choice(few, 150) if n % 2 else few
+        two = np.concatenate([one[int(rng.integers(0, 60)) :], rng.choice(few, 80), one[:70]])
+        two = np.where(rng.random(len(two)) < rng.choice([0.02, 0.1, 0.2]), rng.integers(0, 1 << 63, len(two), dtype=np.uint64), two)
+        if n % 3 == 0:
+            two = np.concatenate([two, rng.choice(two, 200)])
+        some = substring_dedup.stretches(one, two, 46, 80)
+        with monkeypatch.context() as m:
+            m.setattr(substring_dedup, "_hopeful", lambda stands, *rest: np.ones(len(stands), dtype=bool))
+            assert some == substring_dedup.stretches(one, two, 46, 80)
+        found += len(some)
+    assert found > 60
+
+
+def test_most_hits_of_each_size():
+    rng = np.random.default_rng(9)
+    width = 5
+    sizes = [(int(a), int(b)) for a, b in rng.integers(0, width, (40, 2))]  # places to the left and right of the middle
+    begin, middle = np.cumsum([0] + [a + 1 + b for a, b in sizes]), np.array([a for a, _ in sizes])
+    bit, table = rng.integers(0, 16, begin[-1]), rng.random((40, 16)) < 0.6
+    one, other = rng.integers(0, 40, 300), rng.integers(0, 40, 300)
+    got = substring_dedup.most_hits(begin, middle, table, bit, one, other, width)
+    for k, (x, y) in enumerate(zip(one.tolist(), other.tolist(), strict=True)):
+        hits, c = table[y, bit[begin[x] : begin[x + 1]]], middle[x]
+        for n in range(width, 2 * width):
+            want = [int(hits[i:j].sum()) for i in range(c + 1) for j in range(c + 1, len(hits) + 1) if width <= j - i <= n]
+            assert got[n - width, k] == max(want) if want else got[n - width, k] < 0
