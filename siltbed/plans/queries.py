@@ -450,7 +450,7 @@ def stream_live_state(spark, sf_dir):
         batch.write.parquet(f"{out}/{number}")
 
     changes = upsert.live_state(oplog.from_events(_stream(spark, sf_dir)))
-    changes.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", fresh_folder(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    upsert.on_changes(changes, write, fresh_folder(spark, "offsets")).awaitTermination()
     return resolve.live(spark.read.parquet(f"{out}/*"))
 
 

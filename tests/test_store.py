@@ -130,6 +130,36 @@ def test_streams_give_the_batch_state(spark, tmp_path):
     assert {k: r["v"] for k, r in seen.items() if not r["is_delete"]} == {k: float(len(v)) for k, v in applied(ops).items()}
 
 
+def test_live_state_gives_only_what_changes(spark, tmp_path):
+    """Late and repeated operations change nothing, a NaN stays one, and no key is a call of Python."""
+    nan = float("nan")
+    batches = [
+        [("a", 1.0, 5, False), ("b", 2.0, 1, False), ("c", nan, 2, False), ("a", 9.0, 3, False)],
+        [("a", 0.0, 4, False), ("b", 2.0, 1, False), ("b", 7.0, 1, False), ("c", nan, 2, False)],
+        [("a", None, 6, True), ("d", None, 7, False), ("b", 3.0, 8, False)],
+        [("a", 4.0, 9, False), ("d", 1.0, 6, False)],
+    ]
+    schema = "k string, v double, seq long, is_delete boolean"
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    changes = upsert.live_state(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*"))
+    assert "Pandas" not in changes._jdf.queryExecution().analyzed().toString()
+    seen, own = {}, spark.conf.get(upsert.STATE_STORE)
+
+    def write(batch, number):
+        seen[number] = {tuple(map(str, r)) for r in batch.select("k", "v", "seq", "is_delete").collect()}
+
+    stream = upsert.on_changes(changes, write, f"file://{tmp_path}/c")
+    stream.awaitTermination()
+    assert [seen.get(n, set()) for n in range(4)] == [
+        {("a", "1.0", "5", "False"), ("b", "2.0", "1", "False"), ("c", "nan", "2", "False")},
+        set(),
+        {("a", "None", "6", "True"), ("d", "None", "7", "False"), ("b", "3.0", "8", "False")},
+        {("a", "4.0", "9", "False")},
+    ]
+    assert any(name.startswith("rocksdb") for name in stream.recentProgress[0]["stateOperators"][0]["customMetrics"]) and spark.conf.get(upsert.STATE_STORE) == own
+
+
 def test_every_query_has_rows(spark):
     from siltbed.plans.queries import ORACLE_SQL, QUERIES
 
